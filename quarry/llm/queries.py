@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, html_extract
+from quarry.llm import bpe, exact_dedup, html_extract, quality_rules, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +20,13 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bitplane_tokens": lambda s, d: token_files.op2_bitplane_tokens(_documents(s, d), public_tokenizers.path("byte_bpe_50k.json")),
+        "op4_byte_bpe": lambda s, d: bpe.op4_byte_bpe(_documents(s, d), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+        "op6_quality_rules": lambda s, d: quality_rules.op6_quality_rules(_documents(s, d)),
         "op8_exact_dedup": lambda s, d: exact_dedup.op8_exact_dedup(_documents(s, d)),
         "op10_html_extract": lambda s, d: html_extract.op10_html_extract(_pages(s, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op6_quality_rules": quality_rules.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
