@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, exact_dedup, html_extract, quality_rules, token_files
+from quarry.llm import bpe, exact_dedup, html_extract, mixing, quality_classifier, quality_rules, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +20,11 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_entropy_mix": lambda s, d: mixing.op1_entropy_mix(_documents(s, d)),
         "op2_bitplane_tokens": lambda s, d: token_files.op2_bitplane_tokens(_documents(s, d), public_tokenizers.path("byte_bpe_50k.json")),
         "op4_byte_bpe": lambda s, d: bpe.op4_byte_bpe(_documents(s, d), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
         "op6_quality_rules": lambda s, d: quality_rules.op6_quality_rules(_documents(s, d)),
+        "op7_quality_classifier": lambda s, d: quality_classifier.op7_quality_classifier(_documents(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op8_exact_dedup": lambda s, d: exact_dedup.op8_exact_dedup(_documents(s, d)),
         "op10_html_extract": lambda s, d: html_extract.op10_html_extract(_pages(s, d)),
     }
