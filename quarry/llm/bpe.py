@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +19,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.chunks import ChunkCoder, ragged
 from quarry.llm.common import prepare
+from quarry.llm.words import slices
 
 NO_RANK = np.int64(1 << 40)
 #: Pieces over this many bytes are merged with a heap, as a matrix row would need one round for each merge.
 LONG_PIECE = 1024
-#: Encoded chunks that a worker remembers; the memory is emptied when full, which changes no result.
-CACHE_ENTRIES = 150_000
-CACHE_CHUNK_BYTES = 64
-#: A split before a space that a visible character follows never crosses a match of the pattern.
-_CUT = re.compile(r" (?=\S)")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -92,43 +88,53 @@ class Bpe:
         self.find = regex.compile(pattern).findall
         self.table = PairTable(ranks)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.token = {v: k for k, v in ranks.items()}
-        self.chunks: dict[str, bytes] = {}
-
-    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece as little-endian unsigned 32-bit integers."""
-        out: list[bytes | None] = [None] * len(pieces)
-        buckets: dict[int, list[int]] = {}
+        self.bytes = np.frombuffer(b"".join(ranks), np.uint8)
+        size = np.array([len(t) for t in ranks], np.int64)
+        self.byte_at, self.byte_n = np.zeros(max(ranks.values()) + 1, np.int64), np.zeros(max(ranks.values()) + 1, np.int64)
+        at = np.array(list(ranks.values()))
+        self.byte_at[at], self.byte_n[at] = np.cumsum(size) - size, size
+        self.coder = ChunkCoder(self.encode_chunks)
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, number of ids of each)."""
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # which pieces, their ids, numbers of ids
+        whole, buckets = [], {}
         for i, piece in enumerate(pieces):
-            rank = self.rank.get(piece)
-            if rank is not None:
-                out[i] = rank.to_bytes(4, "little")
-            elif not piece:
-                out[i] = b""
+            if piece in self.rank:
+                whole.append(i)
             elif len(piece) > LONG_PIECE:
-                out[i] = np.array(self._merge_long(piece), "<u4").tobytes()
-            else:
+                ids = np.array(self._merge_long(piece), np.uint32)
+                parts.append((np.array([i]), ids, np.array([len(ids)])))
+            elif piece:
                 n = len(piece)
                 buckets.setdefault(n if n <= 16 else 1 << (n - 1).bit_length(), []).append(i)
+        if whole:
+            parts.append((np.array(whole), np.array([self.rank[pieces[i]] for i in whole], np.uint32), np.ones(len(whole), np.int64)))
         for width, members in buckets.items():
             step = max(1, (1 << 20) // width)  # bounds a matrix to about a million cells
             for at in range(0, len(members), step):
-                part = members[at : at + step]
-                for i, ids in zip(part, self._merge_matrix([pieces[i] for i in part], width), strict=True):
-                    out[i] = ids
-        return out  # type: ignore[return-value]
-
-    def _merge_matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
+                part = np.array(members[at : at + step])
+                parts += [(part[rows], ids, sizes) for rows, ids, sizes in self._merge_matrix([pieces[i] for i in part.tolist()], width)]
+        size, begin, base = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), 0
+        for which, ids, sizes in parts:
+            size[which], begin[which] = sizes, base + np.cumsum(sizes) - sizes
+            base += len(ids)
+        flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint32)
+        return ragged(flat, begin, size), size
+
+    def _merge_matrix(self, pieces: list[bytes], width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, their ids in a row, numbers of ids) of the rows that became ready together."""
         lengths = np.array([len(p) for p in pieces])
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(-1, width)
         ids = np.where(np.arange(width) < lengths[:, None], self.byte[raw], -1)
-        rank = self.table.ranks(ids[:, :-1], ids[:, 1:]) if width > 1 else np.full((len(pieces), 0), NO_RANK)
+        rank = self.table.ranks(ids[:, :-1], ids[:, 1:])
         rows = np.arange(len(pieces))
-        done: list[bytes] = [b""] * len(pieces)
+        done = []
 
         def leave(which: np.ndarray) -> None:
-            for r, line in zip(rows[which], ids[which], strict=True):
-                done[r] = line[line >= 0].astype("<u4").tobytes()
+            ready = ids[which]
+            real = ready >= 0
+            done.append((rows[which], ready[real].astype(np.uint32), real.sum(axis=1)))
 
         while len(rows):
             if ids.shape[1] < 2:
@@ -146,13 +152,11 @@ class Bpe:
                 every = np.arange(len(rows))
             n = ids.shape[1]
             ids[every, at] = best
-            shift = np.arange(n - 1) + (np.arange(n - 1) > at[:, None])
-            ids = np.take_along_axis(ids, shift, axis=1)
+            ids = np.take_along_axis(ids, np.arange(n - 1) + (np.arange(n - 1) > at[:, None]), axis=1)
             if n == 2:
-                rank = np.full((len(rows), 0), NO_RANK)
+                rank = np.zeros((len(rows), 0), np.int64)
                 continue
-            shift = np.arange(n - 2) + (np.arange(n - 2) >= at[:, None])
-            rank = np.take_along_axis(rank, shift, axis=1)
+            rank = np.take_along_axis(rank, np.arange(n - 2) + (np.arange(n - 2) >= at[:, None]), axis=1)
             left = np.flatnonzero(at > 0)
             rank[left, at[left] - 1] = self.table.ranks(ids[left, at[left] - 1], ids[left, at[left]])
             right = np.flatnonzero(at < n - 2)
@@ -185,50 +189,27 @@ class Bpe:
             offer(i)
         return [self.rank[t] for t in token if t is not None]
 
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of texts, each pre-split by the pattern; all their pieces share the matrices."""
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, number of ids of each chunk); all the chunks' different pieces share the matrices."""
         split = [self.find(c) for c in chunks]
-        pieces = list({p for s in split for p in s})
-        ids = dict(zip(pieces, self.encode_pieces([p.encode() for p in pieces]), strict=True))
-        return [b"".join([ids[p] for p in s]) for s in split]
-
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts; each different chunk of the batch is encoded once."""
-        cut = [split_chunks(t) for t in texts]
-        known = self.chunks
-        new = list({c for chunks in cut for c in chunks if c not in known})
-        known.update(zip(new, self.encode_chunks(new), strict=True))
-        out = [b"".join([known[c] for c in chunks]) for chunks in cut]
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        else:
-            for c in new:
-                if len(c) > CACHE_CHUNK_BYTES:
-                    del known[c]
-        return out
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
-def split_chunks(text: str) -> list[str]:
-    """Pieces of a text whose pre-split is independent: cut before each space that a visible character follows."""
-    if not text:
-        return []
-    if "  " not in text and not _ODD.search(text):
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in rest]
-    at, out = 0, []
-    for m in _CUT.finditer(text):
-        if m.start() > at:
-            out.append(text[at : m.start()])
-        at = m.start()
-    out.append(text[at:])
-    return out
-
-
-#: A space with white space after it, or at the end.
-_ODD = re.compile(r" (?!\S)")
+        number: dict[str, int] = {}
+        order = np.array([number.setdefault(p, len(number)) for s in split for p in s], np.int64)
+        flat, size = self.encode_pieces([p.encode() for p in number])
+        begin = np.cumsum(size) - size
+        pieces = np.array([len(s) for s in split], np.int64)
+        total = np.concatenate([[0], np.cumsum(size[order])])
+        to = np.cumsum(pieces)
+        return ragged(flat, begin[order], size[order]), total[to] - total[to - pieces]
+
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts; each different chunk is encoded once."""
+        ids, offsets = self.coder.encode(pa.array(texts, pa.large_string()))
+        return [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return ragged(self.bytes, self.byte_at[ids], self.byte_n[ids]).tobytes()
+
+
 _LOADED: dict[tuple[str, str], Bpe] = {}
 
 
@@ -258,23 +239,22 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         for batch in batches:
-            for part in _small(batch):
-                ids = bpe.encode_texts([x or "" for x in part.column(part.num_columns - 1).to_pylist()])
+            for part in slices(batch, batch.schema.names[-1], 4 << 20):
+                ids, offsets = bpe.coder.encode(part.column(part.num_columns - 1))
+                spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+                plain = memoryview(bpe.decode(ids))
+                at = np.concatenate([[0], np.cumsum(bpe.byte_n[ids])])[offsets].tolist()
+                raw = memoryview(ids.astype("<u4").tobytes())
                 columns = [*(part.column(i) for i in range(part.num_columns - 1))]
-                columns += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids])]
-                columns.append(pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()))
+                columns.append(pa.array(np.diff(offsets), pa.int64()))
+                columns.append(pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in spans], pa.string()))
+                columns.append(pa.array([hashlib.sha256(plain[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)], pa.string()))
                 if keep_ids:
-                    columns.append(pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(*others, F.col(text_col)).mapInArrow(run, schema)
 
 
-def _small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    from quarry.llm.words import slices
-
-    return slices(batch, batch.schema.names[-1], 1 << 20)
-
-
 def op4_byte_bpe(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return encode_decode(docs.select("doc_id", "text"), path, pattern)

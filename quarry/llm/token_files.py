@@ -9,8 +9,11 @@ read alone.
 
 from __future__ import annotations
 
+import codecs
 import io
+import itertools
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import CACHE_CHUNK_BYTES, CACHE_ENTRIES, split_chunks
+from quarry.llm.chunks import ChunkCoder
 from quarry.llm.common import fresh_path, prepare, stage
 from quarry.llm.words import slices
 
@@ -31,6 +34,7 @@ MAGIC = b"QBP1"
 BLOCK_IDS = 1 << 16
 #: Bytes of text that one shard file is made from, about.
 SHARD_BYTES = 16 << 20
+_ONE_PIECE = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _INDEX = np.dtype([("offset", "<u8"), ("first", "<u8"), ("count", "<u4"), ("crc", "<u4")])
 
 
@@ -43,7 +47,7 @@ def pack_block(ids: np.ndarray, bits: bool = False, level: int = 3) -> bytes:
     else:
         planes = [np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4)[:, k]).tobytes() for k in range(4)]
     press = zstandard.ZstdCompressor(level=level)
-    packed = [press.compress(p) if any(p) else b"" for p in planes]
+    packed = [press.compress(p) if p.count(0) < len(p) else b"" for p in planes]
     return struct.pack(f"<IB{len(packed)}I", len(ids), len(packed), *map(len, packed)) + b"".join(packed)
 
 
@@ -164,23 +168,37 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        cut = [split_chunks(t) for t in texts]
-        new = list({c for chunks in cut for c in chunks if c not in self.known})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
-        end = np.array([end_id], "<u4").tobytes()
-        known = self.known
-        out = [np.frombuffer(b"".join([known[c] for c in chunks] + [end]), "<u4") for chunks in cut]
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        else:
-            for c in new:
-                if len(c) > CACHE_CHUNK_BYTES:
-                    del known[c]
-        return out
+        self.coder = ChunkCoder(self._learn)
+        shown = sorted(b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = "".join(chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256))  # the byte-level alphabet
+
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, number of ids of each chunk).
+
+        Chunks of letters with at most one space in front are one piece for the pre-split, so they go straight to the
+        library's model, in the alphabet of its byte-level step; all others take the whole way.
+        """
+        single = _ONE_PIECE.fullmatch
+        merge, letters = self.tokenizer.model.tokenize, self.letters
+        out: list[list[int] | None] = [[t.id for t in merge(codecs.charmap_decode(c.encode(), "strict", letters)[0])] if single(c) else None for c in chunks]
+        others = [i for i, ids in enumerate(out) if ids is None]
+        if others:
+            for i, e in zip(others, self.tokenizer.encode_batch_fast([chunks[i] for i in others], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return np.array(list(itertools.chain.from_iterable(out)), np.uint32), np.array(list(map(len, out)), np.int64)
+
+    def encode(self, texts: pa.Array | list[str], end_id: int) -> list[np.ndarray]:
+        """Ids of each text with the end id."""
+        ids, offsets = self.coder.encode(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        n = len(offsets) - 1
+        out = np.full(len(ids) + n, end_id, np.uint32)
+        own = np.ones(len(out), bool)
+        last = offsets[1:] + np.arange(n)
+        own[last] = False
+        out[own] = ids
+        first = offsets[:-1] + np.arange(n)
+        return [out[a : b + 1] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -215,12 +233,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
         final, temp = f"{root}/shard-{shard:07d}.qbp", f"{root}/_attempt-{shard:07d}-{attempt}"
         writer = sink = None
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 if writer is None:
                     system.create_dir(root, recursive=True)
                     sink = system.open_output_stream(temp)
                     writer = Writer(sink, bits)
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist(), end_id), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1), end_id), strict=True):
                     writer.add(doc, ids)
         if writer is not None:
             writer.close()

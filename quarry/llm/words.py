@@ -42,7 +42,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.uint64 = _STEP) -> np.ndarray:
     """64-bit hashes of ``buf[starts[i]:ends[i]]``; spans may be empty or very long.
 
     ``buf`` must have at least 8 spare bytes after the last span.  A span of up
@@ -53,7 +53,7 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         return np.zeros(0, np.uint64)
     loads = np.ndarray(shape=(len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
     length = (ends - starts).astype(np.int64)
-    first = mix64((loads[starts] & _KEEP[np.minimum(length, 8)]) + _STEP)
+    first = mix64((loads[starts] & _KEEP[np.minimum(length, 8)]) + seed)
     longer = np.flatnonzero(length > 8)
     if len(longer):
         extra = (length[longer] - 1) // 8
@@ -61,9 +61,9 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         k = np.arange(int(extra.sum()), dtype=np.int64) - np.repeat(begin, extra) + 1
         at = np.repeat(starts[longer], extra) + 8 * k
         left = np.repeat(ends[longer], extra) - at
-        part = mix64((loads[at] & _KEEP[np.minimum(left, 8)]) + _STEP) * powers(_CHUNK_P, int(k.max()) + 1)[k]
+        part = mix64((loads[at] & _KEEP[np.minimum(left, 8)]) + seed) * powers(_CHUNK_P, int(k.max()) + 1)[k]
         first[longer] += np.add.reduceat(part, begin)
-    return mix64(first ^ (length.astype(np.uint64) * _STEP))
+    return mix64(first ^ (length.astype(np.uint64) * seed))
 
 
 @dataclass
