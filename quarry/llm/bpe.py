@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.chunks import ChunkCoder, ragged
 from quarry.llm.common import prepare
@@ -234,7 +235,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     others = [c for c in docs.columns if c != text_col and c not in made]
     schema = docs.select(*others).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if keep_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)

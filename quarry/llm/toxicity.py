@@ -27,7 +27,6 @@ SAMPLE_ROWS = 2400
 TRAIN_WINDOWS = 24
 THRESHOLD = 0.3
 
-_KINDS = ("wz", "wr", "wh")
 #: Character n-grams of a word, its boundary marks included: 3 to 5 bytes at the front, 3 anywhere.
 _FRONT = (3, 4, 5)
 
@@ -279,7 +278,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     """
     spark = prepare(docs.sparkSession)
     others = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
-    schema = docs.select(*others).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*others).schema.add("score", "double").add("predicted", "integer")
     held = spark.sparkContext.broadcast(model.p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
