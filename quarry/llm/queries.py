@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, exact_dedup, html_extract, mixing, quality_classifier, quality_rules, token_files, toxicity
+from quarry.llm import bpe, exact_dedup, html_extract, minmax_dedup, mixing, quality_classifier, quality_rules, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_entropy_mix": lambda s, d: mixing.op1_entropy_mix(_documents(s, d)),
         "op2_bitplane_tokens": lambda s, d: token_files.op2_bitplane_tokens(_documents(s, d), public_tokenizers.path("byte_bpe_50k.json")),
+        "op3_minmax_neardup": lambda s, d: minmax_dedup.op3_minmax_neardup(_documents(s, d)),
         "op4_byte_bpe": lambda s, d: bpe.op4_byte_bpe(_documents(s, d), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
         "op5_toxicity": lambda s, d: toxicity.op5_toxicity(_documents(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op6_quality_rules": lambda s, d: quality_rules.op6_quality_rules(_documents(s, d)),
