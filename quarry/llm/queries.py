@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe, exact_dedup, html_extract, minmax_dedup, mixing, quality_classifier, quality_rules, token_files, toxicity
+from quarry.llm import bpe, exact_dedup, html_extract, minmax_dedup, mixing, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": lambda s, d: quality_rules.op6_quality_rules(_documents(s, d)),
         "op7_quality_classifier": lambda s, d: quality_classifier.op7_quality_classifier(_documents(s, d), s.read.parquet(f"{d}/labels.parquet")),
         "op8_exact_dedup": lambda s, d: exact_dedup.op8_exact_dedup(_documents(s, d)),
+        "op9_substring_dedup": lambda s, d: substring_dedup.op9_substring_dedup(_documents(s, d)),
         "op10_html_extract": lambda s, d: html_extract.op10_html_extract(_pages(s, d)),
     }
 
