@@ -7,10 +7,11 @@ documents agrees in none of the 32 bands with probability (1 - 0.8**4)**32 < 5e-
 
 Buckets are never expanded into all pairs.  Equal shingle sets are one class from the start.  In the first round every
 member is compared with one pivot of its bucket, the member that shares the most buckets with others (the centre
-of a family of copies).  Then only members that are still outside their bucket's main component are compared, in blocks:
-first with their best-looking partners, at last with every member of another component whose signature leaves
-a similarity of 0.8 possible.  A pair counts only after its full shingle sets have been compared, and no partner is
-dropped by a cap, so the components are those of the full graph.
+of a family of copies).  Then only members that are still outside their bucket's main component are compared, in blocks,
+with every member of another component; a fine signature, made for those documents only (one bit of the minimum and
+one of the maximum of 1024 hash evaluations), rules out the partners that cannot reach 0.8.  A pair counts only after its
+full shingle sets have been compared, and no partner is dropped by a cap, so the components are those of the full
+graph.
 """
 
 from __future__ import annotations
@@ -27,14 +28,17 @@ from quarry.llm.common import attach, components, prepare, stage
 
 HASHES, BAND = 64, 4
 BANDS = 2 * HASHES // BAND
-#: A pair's share of equal signature components below which 0.8 is out of the question (5 standard deviations).
-LEAST_ESTIMATE = 0.62
+#: Hash evaluations of the fine signature, two bits each.
+FINE = 1024
+#: Standard deviations below the expected number of equal bits at the similarity limit that still count as possible.
+DEVIATIONS = 4.5
 #: Rows of one side of a compared block.
 OUTER_BLOCK, INNER_BLOCK = 256, 1024
 #: Rows that one copy of a pivot's shingle set serves.
 PIVOT_ROWS = 256
 
 _SEEDS = W.mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_FINE_SEEDS = (W.mix64(np.arange(1, FINE + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SET1, _SET2 = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -139,24 +143,46 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, ["hub", "salt"]).select("id", "hub", "shingles", "hub_set").mapInArrow(_verify(percent), "a long, b long")
 
 
-def _blocks(top: int | None) -> Callable:
-    """Candidate pairs of block rows (key, band, x, y, outer, id, comp, bands), sorted by block.
-
-    outer rows are compared with all inner rows of another component; with ``top`` the best few partners of each outer
-    row, else all that the signatures allow, each pair only in the first band its signatures share.
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, 2 * FINE bits) of sets: equal bits of two sets are a share (1 + similarity) / 2 of all."""
+    for batch in batches:
+        raw = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(1)]
+        step, at = 1 << 19, 0  # shingles at a time
+        while at < len(raw):
+            to, held = at, 0
+            while to < len(raw) and (to == at or held + len(raw[to]) <= step):
+                held += len(raw[to])
+                to += 1
+            value = (np.concatenate(raw[at:to]) >> np.uint64(32)).astype(np.uint32)
+            begin = np.cumsum([0] + [len(x) for x in raw[at : to - 1]])
+            bits = np.zeros((to - at, 2 * FINE), bool)
+            for k in range(FINE):
+                p = value * _FINE_SEEDS[k]
+                p ^= p >> np.uint32(15)
+                p *= _FINE_SEEDS[FINE - 1 - k]
+                for j, least in enumerate((np.minimum.reduceat(p, begin), np.maximum.reduceat(p, begin))):
+                    least = (least ^ (least >> np.uint32(16))) * np.uint32(0x7FEB352D)
+                    bits[:, 2 * k + j] = (least >> np.uint32(31)).astype(bool)
+            packed = np.packbits(bits, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([r.tobytes() for r in packed], pa.binary())], names=["id", "fine"])
+            at = to
+
+
+def _blocks(percent: int) -> Callable:
+    """Candidate pairs of block rows (key, band, x, y, outer, id, comp, bands, fine), sorted by block.
+
+    outer rows are compared with all inner rows of another component; a pair comes out of the first band only that
+    its signatures share.
     """
+    same = (1 + percent / 100) / 2
+    least = 2 * FINE * same - DEVIATIONS * (2 * FINE * same * (1 - same)) ** 0.5
 
-    def compare(o_id, o_comp, o_sig, i_id, i_comp, i_sig, band) -> list[tuple]:  # noqa: ANN001
+    def compare(o_id, o_comp, o_sig, o_fine, i_id, i_comp, i_sig, i_fine, band) -> list[tuple]:  # noqa: ANN001
         found = []
-        inner = i_sig.view(np.uint16)
         for k in range(len(o_id)):
-            equal = (inner == o_sig[k].view(np.uint16)).sum(axis=1)
-            good = (equal >= LEAST_ESTIMATE * 2 * HASHES) & (i_comp != o_comp[k])
-            at = np.flatnonzero(good)
-            if top is not None and len(at) > top:
-                at = at[np.argsort(-equal[at], kind="stable")[:top]]
-            elif top is None and len(at):
-                at = at[(i_sig[at] == o_sig[k]).argmax(axis=1) == band]
+            equal = 2 * FINE - np.bitwise_count(i_fine ^ o_fine[k]).sum(axis=1, dtype=np.int64)
+            at = np.flatnonzero((equal >= least) & (i_comp != o_comp[k]))
+            at = at[(i_sig[at] == o_sig[k]).argmax(axis=1) == band] if len(at) else at
             found += [(int(o_id[k]), int(x)) for x in i_id[at]]
         return found
 
@@ -170,7 +196,8 @@ def _blocks(top: int | None) -> Callable:
             ids, comp = t["id"].to_numpy(), t["comp"].to_numpy()
             sig = np.ascontiguousarray(t["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS))
             o, i = np.flatnonzero(outer), np.flatnonzero(~outer)
-            pairs = compare(ids[o], comp[o], sig[o], ids[i], comp[i], sig[i], int(t["band"][0].as_py()))
+            fine = np.stack([np.frombuffer(x.as_buffer(), "<u8") for x in t["fine"]])
+            pairs = compare(ids[o], comp[o], sig[o], fine[o], ids[i], comp[i], sig[i], fine[i], int(t["band"][0].as_py()))
             return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], names=["id", "hub"])
 
         for batch in batches:
@@ -192,7 +219,7 @@ def _blocks(top: int | None) -> Callable:
     return run
 
 
-def _outsiders(members: DataFrame, reps: DataFrame, labels: DataFrame, top: int | None) -> DataFrame:
+def _outsiders(members: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of members outside the main component of their bucket with members of other components."""
     now = members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     now = stage(now, "near-members")
@@ -200,14 +227,16 @@ def _outsiders(members: DataFrame, reps: DataFrame, labels: DataFrame, top: int
     rows = stage(attach(now, stage(state.withColumn("size", F.col("n")), "near-state"), ["key"], "n"), "near-open")
     outside = rows.where("comp <> main").groupBy("key").agg(F.count("*").alias("u"), F.first("size").alias("n"))
     rows = attach(rows, stage(outside, "near-outside"), ["key"], "n")
-    rows = rows.join(reps.select("id", "bands"), "id").withColumns({"ny": F.ceil(F.col("u") / OUTER_BLOCK).cast("int"), "nx": F.ceil(F.col("size") / INNER_BLOCK).cast("int"), "h": F.xxhash64("id")})
+    rows = stage(rows, "near-rows")
+    fine = stage(sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_fine, "id long, fine binary"), "near-fine")
+    rows = rows.join(fine.join(reps.select("id", "bands"), "id"), "id").withColumns({"ny": F.ceil(F.col("u") / OUTER_BLOCK).cast("int"), "nx": F.ceil(F.col("size") / INNER_BLOCK).cast("int"), "h": F.xxhash64("id")})
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["key", "band", "x", "y", "outer", "id", "comp", "bands"]
+    columns = ["key", "band", "x", "y", "outer", "id", "comp", "bands", "fine"]
     inner = rows.withColumn("y", every("ny")).withColumn("x", F.pmod("h", "nx").cast("int")).withColumn("outer", F.lit(False)).select(*columns)
     outer = rows.where("comp <> main").withColumn("x", every("nx")).withColumn("y", F.pmod("h", "ny").cast("int")).withColumn("outer", F.lit(True)).select(*columns)
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = inner.unionByName(outer).repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(_blocks(top), "id long, hub long")
+    return dealt.mapInArrow(_blocks(percent), "id long, hub long")
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -241,19 +270,14 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     star = attach(members, stage(pivots, "near-pivots"), ["key"], "n").where("id <> hub").select("id", "hub")
     labels = components(linked(star, sets, percent), "near-cc")
 
-    # later rounds: members that are still outside
-    plain = members.select("key", "band", "id", "score")
-    for top in (2, None):
-        pairs = _outsiders(plain, reps, labels, top)
-        edges = linked(pairs, sets, percent)
-        old = labels
-        seen = lambda c: old.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))  # noqa: E731, B023
-        between = edges.join(seen("a"), "a", "left").join(seen("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-        merged = components(between, "near-cc")
-        moved = merged.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-        known = old.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-        fresh = merged.join(old.select("id"), "id", "left_anti")
-        labels = stage(known.unionByName(fresh), "near-labels")
+    # round two: members that are still outside
+    pairs = _outsiders(members.select("key", "band", "id", "score"), reps, sets, labels, percent)
+    seen = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
+    between = linked(pairs, sets, percent).join(seen("a"), "a", "left").join(seen("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    merged = components(between, "near-cc")
+    moved = merged.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    known = labels.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    labels = stage(known.unionByName(merged.join(labels.select("id"), "id", "left_anti")), "near-labels")
 
     final = classes.join(labels, "id", "left").select("s1", "s2", F.coalesce("comp", "id").alias("component_id"), "size")
     placed = attach(full.select("doc_id", "n_shingles", "s1", "s2"), stage(final, "near-final"), ["s1", "s2"], "size").select("doc_id", "n_shingles", "component_id")
