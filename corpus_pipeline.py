@@ -6,37 +6,65 @@ Parquet and read again as the next one's docs.  All but the last return the colu
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import bpe, exact_dedup, minmax_dedup, mixing, quality_classifier
-from quarry.llm.common import stage
+from quarry.llm.common import mark, release, stage
 
 #: The stages' decisions aren't expressible in SQL (a fitted classifier, hashing with verification, a convex program).
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[tuple[int, int]] = []
+
+
+def _tidy(f: Stage) -> Stage:
+    """Before a stage begins, delete what the stage before has staged: its result has been written by then."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            since, until = _left.pop()
+            release(spark, since, until=until)
+        begin = mark()
+        out = f(spark, docs, sf_dir)
+        _left.append((begin, mark()))
+        return out
+
+    return run_stage
+
+
+@_tidy
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier, fitted on the rated ones among them, doesn't reject."""
     model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_classifier.score(docs, model).where("kept").select(*docs.columns)
 
 
+@_tidy
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, the one with the largest id."""
     return exact_dedup.drop_copies(docs)
 
 
+@_tidy
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component (five-word shingles, similarity 0.8), the smallest id."""
     return minmax_dedup.drop_near_copies(docs, width=5, percent=80)
 
 
+@_tidy
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the entropy-balanced mix takes it, up to three times or not at all."""
     return mixing.take(docs, mixing.entropy_mix(docs))
 
 
+@_tidy
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row with their digest, and the digest of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -47,8 +47,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders that this driver has staged, in order; None where one has been deleted.
+_STAGED: list[str | None] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}"
+    _STAGED.append(f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex}")
+    return _STAGED[-1]
+
+
+def mark() -> int:
+    """A point in time for `release`."""
+    return len(_STAGED)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame, until: int | None = None) -> None:
+    """Delete the folders staged since a mark (up to another), but for those of the staged tables in ``keep``."""
+    kept = {getattr(df, "_staged", None) for df in keep}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for i in range(since, len(_STAGED) if until is None else until):
+        path = _STAGED[i]
+        if path is not None and path not in kept:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+            _STAGED[i] = None
 
 
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -59,19 +81,9 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if not files:
-        return
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-    if "quarry-" in folder.toString():
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
 
 
 def attach(big: DataFrame, small: DataFrame, on: Sequence[str], weight: str) -> DataFrame:
@@ -122,6 +134,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     are flat, and the edges are contracted to the parents; a round at least halves each component, so the
     number of rounds is logarithmic.  Every table is staged, nothing is collected.
     """
+    begin = mark()
     edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     labels = stage(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id")), name)
     while not edges.isEmpty():
@@ -137,4 +150,6 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         root = lambda c: hooks.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_root"))
         edges = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y")).where("x <> y")
         edges = stage(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), name)
+        release(edges.sparkSession, begin, edges, labels)
+    release(labels.sparkSession, begin, labels)
     return labels

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import attach, fresh_path, prepare, stage
+from quarry.llm.common import attach, fresh_path, mark, prepare, release, stage
 
 #: Bits of a key that directory splits may use; the directory never has more slots than this allows.
 MAX_DEPTH = 16
@@ -139,8 +139,11 @@ def drop_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
     Rows that repeat id and text both are told apart by their other columns; full repeats collapse to one row.
     """
+    begin = mark()
     slim = exact_dedup(docs.select(id_col, text_col), text_col, id_col).where("kept").groupBy(id_col, "text_sha256").agg(F.count("*").alias("_n"))
-    slim = stage(slim, "exact-kept").select(F.col(id_col).alias("_id"), "text_sha256", "_n")
+    staged = stage(slim, "exact-kept")
+    release(docs.sparkSession, begin, staged)
+    slim = staged.select(F.col(id_col).alias("_id"), "text_sha256", "_n")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumn("_sha", F.sha2(F.encode(text, "UTF-8"), 256))
     single = rows.join(slim, (F.col(id_col).eqNullSafe(F.col("_id"))) & (F.col("_sha") == F.col("text_sha256")))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.common import attach, components, prepare, stage
+from quarry.llm.common import attach, components, mark, prepare, release, stage
 
 HASHES, BAND = 64, 4
 BANDS = 2 * HASHES // BAND
@@ -248,7 +248,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     that repeat an id count as one document (linked to whatever one of them is linked to) and are all kept or all not;
     rows with a null id take no part: component_id is null, kept true.  An empty table gives an empty table.
     """
-    prepare(docs.sparkSession)
+    spark, begin = prepare(docs.sparkSession), mark()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketch = stage(rows.mapInArrow(_sketch(width), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "near-sketch")
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -280,15 +280,19 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     labels = stage(known.unionByName(merged.join(labels.select("id"), "id", "left_anti")), "near-labels")
 
     final = classes.join(labels, "id", "left").select("s1", "s2", F.coalesce("comp", "id").alias("component_id"), "size")
-    placed = attach(full.select("doc_id", "n_shingles", "s1", "s2"), stage(final, "near-final"), ["s1", "s2"], "size").select("doc_id", "n_shingles", "component_id")
+    final = stage(final, "near-final")
+    release(spark, begin, sketch, final)
+    placed = attach(full.select("doc_id", "n_shingles", "s1", "s2"), final, ["s1", "s2"], "size").select("doc_id", "n_shingles", "component_id")
     rest = sketch.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that aren't the smallest id of their component; all columns stay as they are."""
-    gone = near_components(docs, width, percent, text_col, id_col).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stage(gone, "near-gone"), F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+    begin = mark()
+    gone = stage(near_components(docs, width, percent, text_col, id_col).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "near-gone")
+    release(docs.sparkSession, begin, gone)
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
 
 
 def op3_minmax_neardup(docs: DataFrame) -> DataFrame:
