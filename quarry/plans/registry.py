@@ -1,15 +1,451 @@
-"""All queries of the search engine with their DuckDB counterparts."""
+"""All queries of the search engine with their DuckDB counterparts.
+
+Corpus convention: a row of ``documents`` is one file with one chunk (chunk_id = doc_id, path = ``doc_<id>.txt``), a
+conversation is a file whose turns are its chunks, ``embeddings.label`` is a vector partition and vec_id a chunk id.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.functions.structure import split_documents
+from quarry.functions.tokens import query_phrase_column, query_phrases, query_token_column, query_tokens
+from quarry.operators import index, legs, read, search, sync
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+FREE_TEXT = "Licensed work under the public domain"
+NAMED = "Licensed under CC BY-NC 4.0"
+QUERY_VECTOR = 7
+SCOPE = ("src1", "src3")
+TOKEN = r"[\p{L}\p{N}]+"
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _table(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def chunks(s: SparkSession, d: str) -> DataFrame:
+    docs = _table(s, d, "documents")
+    return docs.select("source", F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")).alias("path"), "text", F.regexp_extract("text", r"^((?:[^ \t\n\r]+ ?){1,6})", 1).alias("heading"))
+
+
+def turns(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "conversations").select(F.lit("chat").alias("source"), F.col("conv_id").alias("file_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("turn").alias("ord"), "text")
+
+
+def vectors(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("source"), "embedding")
+
+
+def query_vector(s: SparkSession, d: str) -> list[float]:
+    return list(_table(s, d, "embeddings").where(F.col("vec_id") == QUERY_VECTOR).select("embedding").first()[0])
+
+
+# --- SQL building blocks -------------------------------------------------------------------------------------------
+
+_TOK = rf"""tok AS (SELECT doc_id AS chunk_id, source, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '{TOKEN}') AS t,
+  regexp_extract_all(strip_accents(lower(regexp_extract(text, '^((?:[^ \t\n\r]+ ?){{1,6}})', 1))), '{TOKEN}') AS h FROM documents)"""
+
+
+def _frequency(column: str, words: Sequence[str]) -> str:
+    phrase = "  ".join(words)
+    return f"(length({column}) - length(replace({column}, ' {phrase} ', ''))) / {len(phrase) + 2}"
+
+
+def _bm25(phrases: Sequence[Sequence[str]], name: str, heading: bool = False, sources: Sequence[str] | None = None, k: int = 50) -> str:
+    """CTEs that end in ``name``(chunk_id, score, rank)."""
+    n = range(len(phrases))
+    f = [f"1.0 * {_frequency('tj', p)}" + (f" + 0.6 * {_frequency('hj', p)}" if heading else "") for p in phrases]
+    dl = "len(t) + len(h) + 1" if heading else "len(t) + 1"
+    counted = f"{name}_c AS (SELECT chunk_id, source, ({dl})::BIGINT AS dl, {', '.join(f'({x})::DOUBLE AS f{i}' for i, x in enumerate(f))} FROM (SELECT *, ' ' || array_to_string(t, '  ') || ' ' AS tj, ' ' || array_to_string(h, '  ') || ' ' AS hj FROM tok))"
+    stats = f"{name}_s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {', '.join(f'sum((f{i} > 0)::INT) AS df{i}' for i in n)} FROM {name}_c)"
+    idf = lambda i: f"(CASE WHEN ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{i} + 0.5) / (df{i} + 0.5)) END)"
+    score = " + ".join(f"(CASE WHEN f{i} > 0 THEN {idf(i)} * (f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))) ELSE 0 END)" for i in n)
+    where = " OR ".join(f"f{i} > 0" for i in n)
+    scope = f" AND source IN ({', '.join(repr(x) for x in sources)})" if sources else ""
+    top = f"{name}_t AS (SELECT chunk_id, {score} AS score FROM {name}_c, {name}_s WHERE ({where}){scope} ORDER BY score DESC, chunk_id LIMIT {k})"
+    return f"{counted}, {stats}, {top}, {name} AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS rank FROM {name}_t)"
+
+
+def _knn(name: str, labels: Sequence[str] | None = None, k: int = 50) -> str:
+    scope = f"WHERE label::VARCHAR IN ({', '.join(repr(x) for x in labels)})" if labels else ""
+    return f"""{name}_t AS (SELECT vec_id AS chunk_id, round(sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - q[i]::DOUBLE) ** 2))), 9) AS score
+      FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = {QUERY_VECTOR}) {scope} ORDER BY score, chunk_id LIMIT {k}),
+    {name} AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score, chunk_id) - 1 AS rank FROM {name}_t)"""
+
+
+def _rrf(legs_: dict[str, float], name: str) -> str:
+    rows = " UNION ALL ".join(f"SELECT chunk_id, {i} AS leg, rank FROM {leg}" for i, leg in enumerate(legs_))
+    score = " + ".join(f"coalesce({w} / (r{i} + 61), 0.0)" for i, w in enumerate(legs_.values()))
+    wide = ", ".join(f"min(rank) FILTER (leg = {i})::DOUBLE AS r{i}" for i in range(len(legs_)))
+    return f"""{name}_w AS (SELECT chunk_id, {wide}, min(leg * 1000000 + rank) AS first FROM ({rows}) GROUP BY chunk_id),
+    {name}_v AS (SELECT chunk_id, {score} AS score, first FROM {name}_w),
+    {name} AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, first) - 1 AS place FROM {name}_v)"""
+
+
+_FREE, _PHRASES = query_tokens(FREE_TEXT), query_phrases(NAMED)
+_NAMED = query_tokens(NAMED)
+_SINGLE = lambda words: [[w] for w in words]
+_HIT = "SELECT chunk_id, round(score, 6) AS score, rank FROM "
+
+
+def _hits(df: DataFrame) -> DataFrame:
+    return df.select("chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+# --- tokens and statistics -----------------------------------------------------------------------------------------
+
+
+@_register("tokenize_stats", f"WITH {_TOK} SELECT chunk_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_terms FROM tok")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return index.tokenized(chunks(s, d)).select("chunk_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
+
+
+@_register("term_stats", f"WITH {_TOK} SELECT term, count(*) AS df FROM (SELECT chunk_id, unnest(list_distinct(t)) AS term FROM tok) GROUP BY term")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return index.term_stats(index.postings(chunks(s, d)))
+
+
+@_register("postings", f"WITH {_TOK}, e AS (SELECT chunk_id, unnest(t) AS term, 1 AS a, 0 AS b FROM tok UNION ALL SELECT chunk_id, unnest(h), 0, 1 FROM tok) SELECT chunk_id, term, sum(a)::BIGINT AS tf_text, sum(b)::BIGINT AS tf_heading FROM e GROUP BY chunk_id, term")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return index.postings(chunks(s, d), heading=True).select("chunk_id", "term", "tf_text", "tf_heading")
+
+
+@_register("corpus_stats", f"WITH {_TOK} SELECT count(*) AS n, sum(len(t) + 1)::BIGINT AS total_dl, round(avg(len(t) + 1), 6) AS avgdl FROM tok")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return index.corpus_stats(chunks(s, d)).withColumn("avgdl", F.round("avgdl", 6))
+
+
+@_register("fts_query_tokens", f"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda x: length(x) > 1))), ' ') AS words FROM benchmark")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "benchmark").select("item_id", F.array_join(query_token_column(F.col("text")), " ").alias("words"))
+
+
+@_register(
+    "identifier_phrases",
+    """SELECT doc_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '[0-9A-Za-z]+(?:[_\\-.:][0-9A-Za-z]+)+'),
+       lambda w: array_to_string(regexp_extract_all(lower(w), '[0-9a-z]+'), ' ')), lambda p: contains(p, ' ')))) AS phrase FROM documents""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "documents").select("doc_id", F.explode(query_phrase_column(F.col("text"))).alias("phrase"))
+
+
+# --- legs ----------------------------------------------------------------------------------------------------------
+
+
+@_register("bm25_lexical_top50", f"WITH {_TOK}, {_bm25(_SINGLE(_FREE), 'leg')} {_HIT} leg")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _hits(legs.lexical_leg(chunks(s, d), _FREE))
+
+
+@_register("bm25_postings_top50", f"WITH {_TOK}, {_bm25(_SINGLE(_FREE), 'leg')} {_HIT} leg")
+def _(s: SparkSession, d: str) -> DataFrame:
+    posted = index.postings(chunks(s, d))
+    return _hits(legs.indexed_leg(posted, index.term_stats(posted), index.corpus_stats(chunks(s, d)), _FREE))
+
+
+@_register("bm25_lexical_source_scoped", f"WITH {_TOK}, {_bm25(_SINGLE(_FREE), 'leg', sources=SCOPE)} {_HIT} leg")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _hits(legs.lexical_leg(chunks(s, d), _FREE, SCOPE))
+
+
+@_register("bm25_heading_weighted", f"WITH {_TOK}, {_bm25(_SINGLE(_FREE), 'leg', heading=True)} {_HIT} leg")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _hits(legs.lexical_leg(chunks(s, d), _FREE, heading=True))
+
+
+@_register("phrase_leg_top50", f"WITH {_TOK}, {_bm25(_PHRASES, 'leg')} {_HIT} leg")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _hits(legs.phrase_leg(chunks(s, d), _PHRASES))
+
+
+@_register("dense_knn_top50", f"WITH {_knn('leg')} {_HIT} leg")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _hits(legs.dense_leg(vectors(s, d), query_vector(s, d)))
+
+
+@_register("dense_knn_partition", f"WITH {_knn('leg', ['3'])} {_HIT} leg")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _hits(legs.dense_leg(vectors(s, d), query_vector(s, d), ["3"]))
+
+
+@_register("dense_knn_multi_partition", f"WITH {_knn('leg', ['1', '4', '6'])} {_HIT} leg")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _hits(legs.dense_leg(vectors(s, d), query_vector(s, d), ["1", "4", "6"]))
+
+
+_BATCH = rf"""WITH {_TOK}, w AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda x: length(x) > 1))) AS term FROM benchmark),
+st AS (SELECT count(*) AS n, avg(len(t) + 1) AS avgdl FROM tok),
+p AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(t) + 1 AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+sc AS (SELECT item_id, chunk_id, round(sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)))), 6) AS score
+       FROM p JOIN df USING (term) JOIN w USING (term), st GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM sc)
+SELECT item_id AS query_id, chunk_id, score, rank FROM rk WHERE rank < 10"""
+
+
+@_register("batch_search", _BATCH)
+def _(s: SparkSession, d: str) -> DataFrame:
+    queries = _table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), query_token_column(F.col("text")).alias("words"))
+    return legs.batch_lexical(chunks(s, d), queries, k=10)
+
+
+# --- fusion and search ---------------------------------------------------------------------------------------------
+
+
+@_register("rrf_fusion", f"WITH {_TOK}, {_bm25(_SINGLE(_FREE), 'lexical')}, {_knn('dense')}, {_rrf({'lexical': 1.0, 'dense': 1.0}, 'fused')} SELECT chunk_id, round(score, 6) AS score, place FROM fused")
+def _(s: SparkSession, d: str) -> DataFrame:
+    found = {"lexical": legs.lexical_leg(chunks(s, d), _FREE), "dense": legs.dense_leg(vectors(s, d), query_vector(s, d))}
+    return search.fuse(found, search.WEIGHTS).withColumn("score", F.round("score", 6))
+
+
+_HYBRID = f"WITH {_TOK}, {_bm25(_PHRASES, 'phrase')}, {_bm25(_SINGLE(_NAMED), 'lexical')}, {_knn('dense')}, {_rrf({'phrase': 3.0, 'lexical': 1.0, 'dense': 1.0}, 'fused')}"
+
+
+@_register("hybrid_search", f"{_HYBRID} SELECT place AS rank, chunk_id, source, 'doc_' || chunk_id || '.txt' AS path, round(score, 6) AS score FROM fused JOIN documents ON doc_id = chunk_id WHERE place < 8")
+def _(s: SparkSession, d: str) -> DataFrame:
+    hits = search.search(chunks(s, d), vectors(s, d), NAMED, limit=8, query_vector=query_vector(s, d))
+    return hits.select("rank", "chunk_id", "source", "path", "score")
+
+
+_OVERLAP = " + ".join(f"list_contains(regexp_extract_all(lower(text), '{TOKEN}'), '{w}')::INT" for w in _FREE)
+_RERANK = f"""WITH {_TOK}, {_bm25(_SINGLE(_FREE), 'lexical')}, {_rrf({'lexical': 1.0}, 'one')},
+pool AS (SELECT chunk_id, place, ({_OVERLAP}) / {len(_FREE)}.0 AS rs FROM one JOIN documents ON doc_id = chunk_id WHERE place < 40),
+retrieval AS (SELECT chunk_id, place AS rank FROM pool), again AS (SELECT chunk_id, row_number() OVER (ORDER BY rs DESC, place) - 1 AS rank FROM pool),
+{_rrf({'retrieval': 1.0, 'again': 1.5}, 'fused')}
+SELECT place AS rank, chunk_id, round(score, 6) AS score FROM fused WHERE place < 10"""
+
+
+@_register("rerank_fusion", _RERANK)
+def _(s: SparkSession, d: str) -> DataFrame:
+    hits = search.search(chunks(s, d), None, FREE_TEXT, limit=10, scorer=search.overlap_scorer(FREE_TEXT))
+    return hits.select("rank", "chunk_id", "score")
+
+
+@_register(
+    "mrr_eval",
+    f"WITH {_TOK}, {_bm25(_SINGLE(_FREE), 'leg')} SELECT count(*) AS n, round(avg(quality / (rank + 1.0)), 6) AS mean_rr FROM leg JOIN labels ON doc_id = chunk_id",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    leg = legs.lexical_leg(chunks(s, d), _FREE)
+    judged = leg.join(_table(s, d, "labels").withColumnRenamed("doc_id", "chunk_id"), "chunk_id")
+    return judged.agg(F.count("*").alias("n"), F.round(F.avg(F.col("quality") / (F.col("rank") + 1.0)), 6).alias("mean_rr"))
+
+
+# --- read calls ----------------------------------------------------------------------------------------------------
+
+
+@_register("known_sources", "SELECT DISTINCT source FROM documents")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "documents").select("source").distinct()
+
+
+@_register("list_sources", "SELECT source, count(DISTINCT doc_id) AS files, count(doc_id) AS chunks, max(n_chars) AS indexed_at FROM documents GROUP BY source")
+def _(s: SparkSession, d: str) -> DataFrame:
+    docs = _table(s, d, "documents")
+    files = docs.select("source", F.col("doc_id").alias("file_id"), F.col("n_chars").alias("indexed_at"))
+    sources = docs.select("source").distinct().withColumn("last_success_at", F.lit(None).cast("long"))
+    return read.list_sources(sources, files, docs.select("source", F.col("doc_id").alias("file_id")))
+
+
+@_register(
+    "list_sources_titles",
+    """SELECT source, array_to_string(list(lang ORDER BY rn), ',') AS titles FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY length(doc_id::VARCHAR), doc_id::VARCHAR) AS rn
+       FROM documents WHERE lang IS NOT NULL) WHERE rn <= 12 GROUP BY source""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    files = _table(s, d, "documents").select("source", F.col("doc_id").cast("string").alias("path"), F.col("lang").alias("title"))
+    return read.sample_titles(files).withColumn("titles", F.array_join("titles", ","))
+
+
+@_register("fetch_chunk_context", "SELECT conv_id AS file_id, turn AS ord, text, turn = 2 AS is_hit FROM conversations WHERE conv_id = 3 AND turn BETWEEN 1 AND 3")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return read.fetch_chunk(turns(s, d), "chat", 3002, 1).select("file_id", "ord", "text", "is_hit")
+
+
+_DOC = "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id"
+
+
+@_register("fetch_doc_text", f"SELECT conv_id AS file_id, sha256(text) AS sha, length(text) AS n FROM ({_DOC})")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return read.document_text(turns(s, d)).select("file_id", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("n"))
+
+
+@_register("fetch_doc_page", f"SELECT conv_id AS file_id, text[101:1100] AS text, 100::BIGINT AS \"offset\", length(text) AS total_chars, CASE WHEN length(text) > 1100 THEN 1100::BIGINT END AS next_offset FROM ({_DOC})")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return read.document_text(turns(s, d)).select("file_id", *[c.alias(n) for n, c in read.page_of(F.col("text"), 100, 1000).items()])
+
+
+# --- synchronisation -----------------------------------------------------------------------------------------------
+
+_LISTED = "SELECT source, 'doc_' || doc_id || '.txt' AS path, sha256(text) AS sha FROM documents"
+_INDEXED = """SELECT source, 'doc_' || doc_id || '.txt' AS path, sha256(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS sha FROM documents JOIN labels USING (doc_id)
+  UNION ALL SELECT DISTINCT 'chat', 'conv_' || conv_id || '.txt', '' FROM conversations"""
+
+
+def _listed(s: SparkSession, d: str) -> DataFrame:
+    return chunks(s, d).select("source", "path", F.sha2("text", 256).alias("sha256"))
+
+
+def _indexed(s: SparkSession, d: str) -> DataFrame:
+    labelled = _table(s, d, "documents").join(_table(s, d, "labels").select("doc_id"), "doc_id")
+    old = labelled.select("source", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("path"), F.sha2(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " "), 256).alias("sha256"))
+    chat = turns(s, d).select("source", F.concat(F.lit("conv_"), "file_id", F.lit(".txt")).alias("path"), F.lit("").alias("sha256")).distinct()
+    return old.unionByName(chat)
+
+
+_DIFF = f"""SELECT coalesce(n.source, o.source) AS source, coalesce(n.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.sha = n.sha THEN 'unchanged' ELSE 'changed' END AS action
+  FROM ({_INDEXED}) o FULL OUTER JOIN ({_LISTED}) n ON o.source = n.source AND o.path = n.path"""
+
+
+@_register("sync_file_diff", _DIFF)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return sync.file_diff(_indexed(s, d), _listed(s, d))
+
+
+@_register("sync_counters", "SELECT " + ", ".join(f"count(*) FILTER (action = '{a}') AS {a}" for a in ("added", "changed", "removed", "unchanged")) + f" FROM ({_DIFF})")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return sync.counters(sync.file_diff(_indexed(s, d), _listed(s, d)))
+
+
+_DESIRED = "SELECT source AS name, md5(min(lang)) AS c, md5(source) AS a FROM documents GROUP BY source"
+_KNOWN = """SELECT source AS name, md5(max(lang)) AS c, CASE WHEN source LIKE '%7' THEN '' ELSE md5(source) END AS a, CASE WHEN source LIKE '%5' THEN 'failed' ELSE 'ready' END AS st, source LIKE '%9' AS legacy
+  FROM documents JOIN labels USING (doc_id) WHERE source NOT LIKE '%2' GROUP BY source UNION ALL SELECT role, '', '', 'ready', false FROM conversations GROUP BY role"""
+
+
+@_register(
+    "sync_source_plan",
+    f"""SELECT coalesce(d.name, i.name) AS name, CASE WHEN d.name IS NULL THEN 'remove' WHEN i.name IS NULL THEN 'add' WHEN legacy THEN 'migrate' WHEN st <> 'ready' THEN 'retry'
+       WHEN d.a <> i.a THEN 'update' WHEN d.c <> i.c THEN 'metadata' ELSE 'unchanged' END AS action FROM ({_DESIRED}) d FULL OUTER JOIN ({_KNOWN}) i USING (name)""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    docs = _table(s, d, "documents")
+    desired = docs.groupBy(F.col("source").alias("name")).agg(F.md5(F.min("lang").cast("binary")).alias("config_hash")).withColumn("acquisition_hash", F.md5(F.col("name").cast("binary")))
+    known = docs.join(_table(s, d, "labels"), "doc_id").where(~F.col("source").endswith("2")).groupBy(F.col("source").alias("name")).agg(F.md5(F.max("lang").cast("binary")).alias("config_hash"))
+    known = known.select("name", "config_hash", F.when(F.col("name").endswith("7"), "").otherwise(F.md5(F.col("name").cast("binary"))).alias("acquisition_hash"), F.when(F.col("name").endswith("5"), "failed").otherwise("ready").alias("sync_status"), F.col("name").endswith("9").alias("legacy"))
+    roles = _table(s, d, "conversations").select(F.col("role").alias("name")).distinct().select("name", F.lit("").alias("config_hash"), F.lit("").alias("acquisition_hash"), F.lit("ready").alias("sync_status"), F.lit(False).alias("legacy"))
+    return sync.source_plan(desired, known.unionByName(roles))
+
+
+@_register("orphan_check", "SELECT vec_id AS chunk_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return sync.orphans(vectors(s, d).select("chunk_id"), _table(s, d, "labels").select(F.col("doc_id").alias("chunk_id")))
+
+
+@_register("count_reconcile", "SELECT source, count(*) AS chunks, count(l.doc_id) AS indexed FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source HAVING count(*) <> count(l.doc_id)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    docs = _table(s, d, "documents").select("doc_id", "source")
+    return sync.reconcile(docs, docs.join(_table(s, d, "labels"), "doc_id", "left_semi"))
+
+
+@_register("stale_sources", "SELECT DISTINCT role AS source FROM conversations EXCEPT SELECT source FROM documents")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return sync.stale(_table(s, d, "conversations").withColumnRenamed("role", "source"), _table(s, d, "documents"), "source")
+
+
+@_register("union_candidates", "SELECT 'doc_' || doc_id || '.txt' AS path, 'native' AS kind FROM documents UNION ALL SELECT 'page_' || page_id || '.md', 'materialised' FROM pages")
+def _(s: SparkSession, d: str) -> DataFrame:
+    native = _table(s, d, "documents").select(F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("path"), F.lit("native").alias("kind"))
+    return native.unionByName(_table(s, d, "pages").select(F.concat(F.lit("page_"), "page_id", F.lit(".md")).alias("path"), F.lit("materialised").alias("kind")))
+
+
+# --- scalars and structure -----------------------------------------------------------------------------------------
+
+
+@_register("content_sha256", "SELECT doc_id, sha256(text) AS sha FROM documents")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+
+
+@_register("stub_filter", "SELECT conv_id FROM conversations GROUP BY conv_id HAVING NOT (count(*) = 1 AND max(length(text)) < 40)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("m")).where("NOT (n = 1 AND m < 40)").select("conv_id")
+
+
+@_register("oversize_filter", "SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 8000")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "documents").select("doc_id", F.length("text").cast("long").alias("n")).where("n > 8000")
+
+
+@_register("embedding_text", "SELECT doc_id, sha256(source || ' > ' || lang || chr(10) || chr(10) || text) AS sha FROM documents")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "documents").select("doc_id", F.sha2(T.embedding_text(F.col("source"), F.col("lang"), F.col("text")), 256).alias("sha"))
+
+
+@_register("normalize_whitespace", "SELECT page_id, sha256(regexp_replace(regexp_replace(html, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), '^ | $', '', 'g')) AS sha FROM pages")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "pages").select("page_id", F.sha2(T.collapse(F.col("html")), 256).alias("sha"))
+
+
+@_register(
+    "slug",
+    """SELECT page_id, CASE WHEN v = '' THEN 'untitled-section' ELSE v END AS slug FROM (SELECT page_id, regexp_replace(substring(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '-+$', '') AS v FROM pages)""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "pages").select("page_id", T.ascii_slug(F.col("url")).alias("slug"))
+
+
+@_register(
+    "media_type_map",
+    """SELECT page_id, CASE lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'md' THEN 'text/markdown' WHEN 'mdx' THEN 'text/mdx' WHEN 'rst' THEN 'text/x-rst' WHEN 'txt' THEN 'text/plain'
+       WHEN 'pdf' THEN 'application/pdf' WHEN 'docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' END AS media_type FROM pages""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "pages").select("page_id", T.media_type(F.col("url")).alias("media_type"))
+
+
+@_register("usable_text", "SELECT doc_id FROM documents WHERE length(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', '', 'g')) >= 8 AND length(regexp_replace(text, '[^�\\x01-\\x08\\x0e-\\x1f]+', '', 'g')) < 0.1 * length(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', '', 'g'))")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "documents").where(T.usable(F.col("text"))).select("doc_id")
+
+
+@_register(
+    "page_windows",
+    "SELECT conv_id, turn, (dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 10 AS win, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS carried FROM conversations",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    carried = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return _table(s, d, "conversations").select("conv_id", "turn", F.floor((F.dense_rank().over(by) - 1) / 10).alias("win"), carried.alias("carried"))
+
+
+@_register(
+    "heading_topics",
+    "SELECT conv_id, section, count(*) AS blocks, min(turn) AS first_turn FROM (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS section FROM conversations) GROUP BY conv_id, section",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    by = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    marked = _table(s, d, "conversations").withColumn("section", F.sum((F.col("role") == "user").cast("long")).over(by))
+    return marked.groupBy("conv_id", "section").agg(F.count("*").alias("blocks"), F.min("turn").alias("first_turn"))
+
 
-from pyspark.sql import DataFrame, SparkSession
+@_register("chunk_documents")
+def _(s: SparkSession, d: str) -> DataFrame:
+    docs = _table(s, d, "documents").select("source", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")).alias("path"), "text")
+    return split_documents(docs)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
