@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed values.
 MEDIA_TYPES = {"md": "text/markdown", "mdx": "text/mdx", "rst": "text/x-rst", "txt": "text/plain", "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
@@ -34,12 +35,12 @@ def slugify(value: str, fallback: str = "untitled-section") -> str:
     return text[:SLUG_CHARS].rstrip("-") or fallback
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else normalize(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slug(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else slugify(x))
 

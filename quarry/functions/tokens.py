@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed value: what a token is (also valid RE2, so DuckDB reads it alike).
 TOKEN = r"[\p{L}\p{N}]+"
@@ -30,7 +31,7 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_accents(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else fold(x))
 
