@@ -74,7 +74,7 @@ def cut(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 class ChunkCoder:
     """Remembers up to ``cap`` chunks between slices; the least recently used half goes when it is full."""
 
-    def __init__(self, encode: Encoder, cap: int = 1_000_000):
+    def __init__(self, encode: Encoder, cap: int = 500_000):
         self.encode_new, self.cap, self.clock = encode, cap, 0
         self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.begin, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
