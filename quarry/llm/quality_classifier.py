@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep_gra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, text_col):
+            for part in W.slices(batch, text_col, 1 << 20):
                 tails = held.value.tails(part.column(at))
                 tail = tails[:, min(keep_grade, tails.shape[1]) - 1]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= keep_probability)], names=schema.names)
