@@ -75,7 +75,7 @@ def tilts(histogram: DataFrame, sources: DataFrame, cap: int = 3) -> DataFrame:
         for _ in range(STEPS):
             state = _newton(histogram, state, cap)
         state = stage(state, "mix-lam")
-    return state.select("_source", "lam", "mean")
+    return state.select("_source", F.round("lam", 9).alias("lam"), "mean")  # the last digits depend on the order of sums
 
 
 def _rate(cap: int) -> Column:
