@@ -177,7 +177,10 @@ def select(root: Node) -> Node:
     """
     order = measure(root)
     explicit = [n for n in order if n.tag in ("article", "main") and n.chars and not n.link_chars * 2 > n.chars]
-    pool = explicit or [n for n in order if n.chars]
+    if not explicit:  # without a declared article, blocks that are mostly links are menus
+        for n in order:
+            n.noise = n.noise or n is not root and n.tag in BLOCK and n.link_chars * 2 > n.chars > 0
+    pool = explicit or [n for n in order if n.chars and not n.noise]
     if not pool:
         return root
     best = max(pool, key=lambda n: n.total)
