@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op6_quality_rules": quality_rules.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op9_substring_dedup": substring_dedup.ORACLE_SQL}

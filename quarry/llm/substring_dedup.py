@@ -333,3 +333,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text_col: str = "text"
 
 def op9_substring_dedup(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs.select("doc_id", "text"))
+
+
+ORACLE_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least_id FROM g) WHERE least_id < doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM m),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM t),
+k AS (SELECT x.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY x.p) AS kept FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.p = c.p GROUP BY x.doc_id)
+SELECT t.doc_id, len(t.w) AS n_words, len(t.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM t LEFT JOIN k ON t.doc_id = k.doc_id
+"""
