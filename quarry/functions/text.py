@@ -86,4 +86,4 @@ def embedding_text(source: Column, heading: Column, text: Column) -> Column:
 
 def valid_text(content: Column) -> Column:
     """Strict UTF-8 without a NUL byte, as a predicate over binary content."""
-    return F.is_valid_utf8(content.cast("string")) & (F.instr(F.hex(content), "00") % 2 != 1)
+    return F.is_valid_utf8(content.cast("string")) & ~F.contains(content, F.lit(b"\x00"))

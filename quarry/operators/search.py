@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.tokens import TOKEN, query_phrases, query_tokens
-from quarry.operators.legs import CANDIDATES, dense_leg, lexical_leg, phrase_leg
+from quarry.operators.legs import CANDIDATES, dense_leg, indexed_leg, lexical_leg, phrase_leg
 
 #: Fixed values of the fusion.
 RRF_K = 60
@@ -98,12 +98,14 @@ def search(
     scorer: Callable[[DataFrame], DataFrame] | None = None,
     candidates: int = CANDIDATES,
     heading: bool = False,
+    stored: tuple[DataFrame, DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Ranked hits of one query: rank, chunk_id, source, path, text, score.
 
     ``chunks``: source, chunk_id, path, text[, heading]; ``vectors``: source, chunk_id, embedding.  No limit or 0 means 8,
     no sources means all.  A query without a searchable token finds nothing (and no leg runs).  Identifier phrases
-    add their own leg, and switch a scorer off: exact names beat judged similarity.
+    add their own leg, and switch a scorer off: exact names beat judged similarity.  With ``stored`` (postings, term statistics,
+    corpus statistics) the lexical leg reads those and tokenises nothing.
     """
     limit = limit or DEFAULT_LIMIT
     words, phrases = query_tokens(query), query_phrases(query)
@@ -114,7 +116,7 @@ def search(
     if phrases:
         legs["phrase"] = phrase_leg(chunks, phrases, sources, candidates, heading)
     if words:
-        legs["lexical"] = lexical_leg(chunks, words, sources, candidates, heading)
+        legs["lexical"] = indexed_leg(*stored, words, sources, candidates) if stored else lexical_leg(chunks, words, sources, candidates, heading)
     if vectors is not None and query_vector is not None:
         legs["dense"] = dense_leg(vectors, query_vector, sources, candidates)
     fused = fuse(legs, WEIGHTS)
