@@ -65,8 +65,13 @@ def query_phrases(query: str) -> list[list[str]]:
     return [list(p) for p in found if len(p) > 1]
 
 
+def query_term_column(column: Column) -> Column:
+    """`query_tokens` over a column of queries, folded by the documents' own expression: terms to join with an index."""
+    return F.array_sort(F.array_distinct(F.filter(tokens(column), lambda t: F.length(t) > 1)))
+
+
 def query_token_column(column: Column) -> Column:
-    """`query_tokens` over a column of queries."""
+    """The distinct words of a column of queries as they are written, lower-cased; accents stay (`query_term_column` folds)."""
     return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(TOKEN), 0), lambda t: F.length(t) > 1)))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.structure import split_documents
-from quarry.functions.tokens import query_phrase_column, query_phrases, query_token_column, query_tokens
+from quarry.functions.tokens import query_phrase_column, query_phrases, query_term_column, query_token_column, query_tokens
 from quarry.operators import index, legs, read, search, sync
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,7 +204,7 @@ SELECT item_id AS query_id, chunk_id, score, rank FROM rk WHERE rank < 10"""
 
 @_register("batch_search", _BATCH)
 def _(s: SparkSession, d: str) -> DataFrame:
-    queries = _table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), query_token_column(F.col("text")).alias("words"))
+    queries = _table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), query_term_column(F.col("text")).alias("words"))
     return legs.batch_lexical(chunks(s, d), queries, k=10)
 
 
