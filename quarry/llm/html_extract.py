@@ -2,7 +2,7 @@
 
 Every node of the parsed page gets ``density = chars / tags`` with a composite correction for link text; a node's
 density sum adds the densities of its children.  The threshold is the smallest density on the path from the body to
-the node with the largest density sum, and the selected content is the maximum-sum subtree.
+the node with the largest density sum, and the selected content is the maximum-sum subtree of every block that reaches it.
 """
 
 from __future__ import annotations
@@ -169,33 +169,50 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def select(root: Node) -> Node:
-    """The subtree to extract.
+def _block(node: Node) -> Node:
+    while node.parent is not None and node.tag not in BLOCK:
+        node = node.parent
+    return node
+
+
+def select(root: Node) -> list[Node]:
+    """The subtrees to extract, in page order; none lies in another.
 
-    The node with the largest density sum; the threshold is the smallest density on its path from the body, and
-    the highest node below the body on that path that still reaches the threshold and is a block is taken.
+    A declared article is taken alone.  Otherwise the threshold is the smallest density on the path from the body to the
+    node with the largest density sum.  From the body downwards, every block whose density reaches the threshold gives the
+    node with the largest density sum in it, so that an article in several sibling blocks comes out whole.
     """
     order = measure(root)
     explicit = [n for n in order if n.tag in ("article", "main") and n.chars and not n.link_chars * 2 > n.chars]
-    if not explicit:  # without a declared article, blocks that are mostly links are menus
-        for n in order:
-            n.noise = n.noise or n is not root and n.tag in BLOCK and n.link_chars * 2 > n.chars > 0
-    pool = explicit or [n for n in order if n.chars and not n.noise]
-    if not pool:
-        return root
-    best = max(pool, key=lambda n: n.total)
-    if best.tag not in BLOCK:
-        while best.parent is not None and best.tag not in BLOCK:
-            best = best.parent
-    path, node = [], best
+    if explicit:
+        return [max(explicit, key=lambda n: n.total)]
+    for n in order:  # without a declared article, blocks that are mostly links are menus
+        n.noise = n.noise or n is not root and n.tag in BLOCK and n.link_chars * 2 > n.chars > 0
+    order = [n for n in _walk(root) if n.chars]
+    if not order:
+        return [root]
+    top = {id(n): n for n in order}  # the node with the largest sum in each subtree, the outer and earlier one of equals
+    for n in reversed(order):
+        kids = [top[id(c)] for c in n.children if isinstance(c, Node) and id(c) in top and not c.noise]
+        top[id(n)] = max([n, *kids], key=lambda x: x.total)
+    threshold, node = math.inf, _block(top[id(root)])
     while node is not None:
-        path.append(node)
+        threshold = min(threshold, node.density if node.density > 0 else threshold)
         node = node.parent
-    threshold = min((n.density for n in path if n.density > 0), default=0.0)
-    for n in reversed(path[:-1]):  # from just below the body downwards
-        if n.density >= threshold and n.total >= best.total and n.tag in BLOCK:
-            return n
-    return best
+    taken, todo = set(), [root]
+    while todo:
+        node = todo.pop()
+        if node.tag in BLOCK:
+            taken.add(id(_block(top[id(node)])))
+        todo += [c for c in node.children if isinstance(c, Node) and id(c) in top and c.density >= threshold]
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if id(node) in taken:
+            found.append(node)
+        else:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node) and id(c) in top]
+    return found
 
 
 def blocks(node: Node) -> list[str]:
@@ -231,7 +248,7 @@ def blocks(node: Node) -> list[str]:
 
 
 def extract(page: str | None) -> str:
-    return "\n".join(blocks(select(parse(page)))) if page else ""
+    return "\n".join(x for node in select(parse(page)) for x in blocks(node)) if page else ""
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
