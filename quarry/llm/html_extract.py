@@ -26,10 +26,12 @@ BLOCK = frozenset(
 )
 #: Elements that never hold main text.
 NOISE = frozenset("head script style noscript template nav header footer aside form button select option textarea iframe object embed svg math canvas audio video dialog menu title noembed noframes xmp input label".split())
-#: Words of class, id or role values that mark boilerplate blocks.
+#: Words of class, id or role values that mark boilerplate blocks, unless the block holds the page's content (`settle`).
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup sidebar side menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments commentlist disqus discussion replies reply respond share sharing social related recommended recommendations widget toolbar pagination pager skip search login".split()
 )
+#: A name with one of these tells what the page has or lacks ("has-sidebar"), not what the element is.
+STATE_WORDS = frozenset("has no not with without".split())
 #: Elements whose boilerplate-looking class is ignored: they are the page's main content by definition.
 MAIN = frozenset("html body article main".split())
 #: Opening one of these closes an open p.
@@ -48,26 +50,29 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "noise", "suspect", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, suspect: bool = False):
+        self.tag, self.parent, self.noise, self.suspect = tag, parent, noise, suspect
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _boilerplate(tag: str, attrs: str) -> bool:
+def _boilerplate(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is boilerplate by its kind or hidden, and whether its class, id or role only suggests so."""
     if tag in NOISE:
-        return True
+        return True, False
     if tag in MAIN or not attrs.strip():
-        return False
+        return False, False
     if _HIDDEN.search(attrs):
-        return True
+        return True, False
     for m in _ATTR.finditer(attrs):
-        if any(w.lower() in NOISE_WORDS for w in _WORDS.findall(m[2] or m[3] or m[4] or "")):
-            return True
-    return False
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            found = _WORDS.findall(name)
+            if not NOISE_WORDS.isdisjoint(found) and STATE_WORDS.isdisjoint(found):
+                return False, True
+    return False, False
 
 
 def parse(page: str) -> Node:
@@ -122,7 +127,7 @@ def parse(page: str) -> Node:
             close_to(*CLOSES[name])
         if here.tag == "head" and (name in BLOCK or name == "a"):
             here = here.parent or root
-        node = Node(name, here, _boilerplate(name, attrs))
+        node = Node(name, here, *_boilerplate(name, attrs))
         here.children.append(node)
         if name in VOID or attrs.endswith("/") and name not in BLOCK and name not in RAW:
             continue
@@ -144,6 +149,30 @@ def _walk(root: Node) -> list[Node]:
     return order
 
 
+def settle(root: Node) -> None:
+    """Make suspects noise, except those that hold a main, the largest article (in the main, if there is one), or most of the page's text outside links."""
+    order = _walk(root)
+    if not any(n.suspect for n in order):
+        return
+    plain: dict[int, int] = {}
+    for node in reversed(order):
+        own = sum(len(_SPACE.sub(" ", c).strip()) if isinstance(c, str) else plain.get(id(c), 0) for c in node.children)
+        plain[id(node)] = 0 if node.tag == "a" else own
+    mains = [n for n in order if n.tag == "main" and plain[id(n)]]
+    held, inside = set(), {id(n) for n in mains or [root]}
+    for node in order:
+        if node.parent is not None and id(node.parent) in inside:
+            inside.add(id(node))
+    articles = [n for n in order if n.tag == "article" and plain[id(n)] and id(n) in inside]
+    for node in mains + ([max(articles, key=lambda n: plain[id(n)])] if articles else []):
+        while node is not None:
+            held.add(id(node))
+            node = node.parent
+    for node in order:  # beside a main, a suspect is noise whatever it holds
+        if node.suspect and id(node) not in held and not (id(node) in inside and 2 * plain[id(node)] > plain[id(root)]):
+            node.noise = True
+
+
 def measure(root: Node) -> list[Node]:
     """Fill in chars, tags, link figures, composite densities and density sums of every node."""
     order = _walk(root)
@@ -182,6 +211,7 @@ def select(root: Node) -> list[Node]:
     node with the largest density sum.  From the body downwards, every block whose density reaches the threshold gives the
     node with the largest density sum in it, so that an article in several sibling blocks comes out whole.
     """
+    settle(root)
     order = measure(root)
     explicit = [n for n in order if n.tag in ("article", "main") and n.chars and not n.link_chars * 2 > n.chars]
     if explicit:
@@ -261,7 +291,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without the html, plus text (main text, blocks joined by one newline) and n_chars (its code points).
 
-    Null and empty html give an empty text, as does a page with boilerplate only; nothing is capped.  Every row is
+    Null and empty html give an empty text, as does a page with boilerplate elements only (a class alone never empties a
+    page: what holds most of its text stays); nothing is capped.  Every row is
     handled alone (a map without a shuffle): ties cannot arise, repeated rows give repeated results, an empty table
     gives an empty table.  Extra columns pass through; columns called text or n_chars are replaced.
     """
