@@ -8,12 +8,11 @@ must be adjacent).
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Fixed value: what a token is (also valid RE2, so DuckDB reads it alike).
 TOKEN = r"[\p{L}\p{N}]+"
@@ -24,29 +23,39 @@ _IDENTIFIER = re.compile(IDENTIFIER)
 _WORDS = re.compile(r"[^\W_]+")
 
 
-def fold(text: str) -> str:
-    """Lower case without combining accents (the sharp s stays)."""
-    if text.isascii():
-        return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+def _folded_letter(c: str) -> str:
+    return unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c.lower()) if not unicodedata.category(x).startswith("M")))
 
 
-@F.pandas_udf(StringType())
-def fold_accents(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else fold(x))
+#: What folding makes of each character that it changes ("" for marks), letters first: ``translate`` drops what has no partner.
+_FOLDED = dict(sorted(((c, f) for c in map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]) if (f := _folded_letter(c)) != c), key=lambda x: x[1] == ""))
+_TABLE = str.maketrans(_FOLDED)
+_CHANGED, _PLAIN = "".join(_FOLDED), "".join(_FOLDED.values())
 
+#: Korean syllables written as separate letters (19 initials, 21 vowels, 27 finals) and those that still lack a final.
+_INITIAL, _VOWEL, _FINAL = "\u1100-\u1112", "\u1161-\u1175", "\u11a8-\u11c2"
+_OPEN = "".join(map(chr, range(0xAC00, 0xD7A4, 28)))
+_LETTERS = f"[{_VOWEL}{_FINAL}]"
+_PIECE = f"[{_INITIAL}][{_VOWEL}][{_FINAL}]?|[{_OPEN}][{_FINAL}]|[^{_INITIAL}{_OPEN}]+|[{_INITIAL}{_OPEN}]"
 
-#: Characters that folding changes within Latin-1 and Latin Extended-A; texts with others outside ASCII go to Python.
-_ACCENTED = "".join(c for c in map(chr, range(0xC0, 0x180)) if len(fold(c)) == 1 and fold(c) != c)
-_PLAIN = "".join(fold(c) for c in _ACCENTED)
 
+def fold(text: str) -> str:
+    """Lower case without accents and other marks, Korean syllables whole (the sharp s stays): DuckDB's ``strip_accents(lower(text))``."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text.translate(_TABLE))
 
-def folded(column: Column) -> Column:
-    """`fold` as a JVM expression: lower-casing, Latin accents by ``translate``, other scripts' marks by pattern.
 
-    Letters beyond Latin Extended-A that decompose are left as they are; index and query use the same expression.
-    """
-    return F.regexp_replace(F.translate(F.lower(column), _ACCENTED, _PLAIN), r"\p{Mn}+", "")
+def _syllable(piece: Column) -> Column:
+    """A piece of `_PIECE` as one syllable, if it is the letters of one."""
+    code = lambda i: F.ascii(F.substring(piece, i, 1))
+    final = F.when(F.length(piece) > 2, code(3) - 0x11A7).otherwise(F.lit(0))
+    whole = F.when(piece.rlike(f"^[{_INITIAL}][{_VOWEL}]"), 0xAC00 + ((code(1) - 0x1100) * 21 + code(2) - 0x1161) * 28 + final).otherwise(code(1) + code(2) - 0x11A7)
+    return F.when(piece.rlike(f"^(?:[{_INITIAL}][{_VOWEL}]|[{_OPEN}][{_FINAL}])"), F.decode(F.unhex(F.hex(whole)), "UTF-16BE")).otherwise(piece)
+
+
+def folded(column: Column) -> Column:
+    """`fold` as a JVM expression: one table for all characters, and texts that spell Korean letters apart get them joined."""
+    plain = F.translate(column, _CHANGED, _PLAIN)
+    return F.when(column.rlike(_LETTERS), F.array_join(F.transform(F.regexp_extract_all(plain, F.lit(_PIECE), 0), _syllable), "")).otherwise(plain)
 
 
 def tokens(column: Column) -> Column:
@@ -55,8 +64,8 @@ def tokens(column: Column) -> Column:
 
 
 def query_tokens(query: str) -> list[str]:
-    """Free-text reading of one query: distinct tokens longer than one character, sorted."""
-    return sorted({fold(t) for t in _WORDS.findall(query) if len(t) > 1})
+    """Free-text reading of one query: distinct tokens longer than one character, folded as documents are, sorted."""
+    return sorted({t for t in _WORDS.findall(fold(query)) if len(t) > 1})
 
 
 def query_phrases(query: str) -> list[list[str]]:
