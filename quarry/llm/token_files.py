@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -167,7 +168,8 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.whole = Tokenizer.from_file(path)  # as the file sets it: strings of added tokens become their ids
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.coder = ChunkCoder(self._learn)
         shown = sorted(b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -189,8 +191,17 @@ class LibraryEncoder:
         return np.array(list(itertools.chain.from_iterable(out)), np.uint32), np.array(list(map(len, out)), np.int64)
 
     def encode(self, texts: pa.Array | list[str], end_id: int) -> list[np.ndarray]:
-        """Ids of each text with the end id."""
-        ids, offsets = self.coder.encode(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        """Ids of each text with the end id.  Texts that hold an added token's string go whole through the library."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        holds = np.zeros(len(texts), bool)
+        for content in self.added:
+            holds |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if holds.any():
+            special = [np.array([*self.whole.encode(x, add_special_tokens=False).ids, end_id], np.uint32) for x in texts.filter(pa.array(holds)).to_pylist()]
+            plain = self.encode(texts.filter(pa.array(~holds)), end_id) if not holds.all() else []
+            by_kind = {True: iter(special), False: iter(plain)}
+            return [next(by_kind[h]) for h in holds.tolist()]
+        ids, offsets = self.coder.encode(texts)
         n = len(offsets) - 1
         out = np.full(len(ids) + n, end_id, np.uint32)
         own = np.ones(len(out), bool)
