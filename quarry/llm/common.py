@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: At most this many keys are ever called hot, which bounds what `attach` broadcasts.
 MAX_HOT = 1000
+#: A staged table of fewer bytes isn't searched for frequent keys.
+SMALL_BYTES = 1 << 14
 #: A key with fewer rows than this is never worth special treatment.
 MIN_HOT = 2000
 
@@ -21,9 +25,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     sc = spark.sparkContext
     if getattr(sc, "_quarry_shipped", None) is None:
-        import tempfile
-        import zipfile
-
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         root = os.path.dirname(package)
         path = os.path.join(tempfile.mkdtemp(prefix="quarry-"), "quarry-src.zip")
@@ -39,11 +40,19 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", "") or ""
+    """The folder all executors share: ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``.
+
+    Where neither is set, a session whose executors are threads of the driver (tests) gets a folder of our own; a
+    cluster gets an error, since a folder of one machine would be no shared one.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir() or ""
     if not path:
-        path = "file:///tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(path)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='quarry-checkpoints-')}"
+        sc.setCheckpointDir(path)
+        path = sc.getCheckpointDir() or path
     return path.rstrip("/")
 
 
@@ -56,6 +65,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return _STAGED[-1]
 
 
+def unused(name: str, *taken: Sequence[str]) -> str:
+    """``name``, lengthened until no column of ``taken`` is called so (Spark's names ignore case)."""
+    known = {c.lower() for columns in taken for c in columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def mark() -> int:
     """A point in time for `release`."""
     return len(_STAGED)
@@ -86,6 +103,16 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def _bytes(df: DataFrame) -> int:
+    """Size of a staged table's files, or a very large number for any other DataFrame."""
+    path = getattr(df, "_staged", None)
+    if path is None:
+        return 1 << 62
+    sc = df.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
 def attach(big: DataFrame, small: DataFrame, on: Sequence[str], weight: str) -> DataFrame:
     """Inner join of ``big`` with ``small`` (one row for each key) that no hot key can unbalance.
 
@@ -105,12 +132,31 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str], weight: str) ->
     )
 
 
+def lookup(big: DataFrame, small: DataFrame, on: str, rows_of: DataFrame | None = None) -> DataFrame:
+    """Left join of ``big`` with ``small`` (at most one row for each key), whatever share of ``big`` one key holds.
+
+    The `MAX_HOT` most frequent keys of `MIN_HOT` rows or more are counted out first; their rows of ``small``, one for
+    each, are broadcast and only the others are shuffled.  Null keys find nothing.  A staged table of a few
+    kilobytes (``rows_of``, if ``big`` has its rows but isn't staged) is joined as it is: one task can hold all of it.
+    """
+    if _bytes(rows_of or big) < SMALL_BYTES:
+        return big.join(small, on, "left")
+    counted = big.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_rows")).where(F.col("_rows") >= MIN_HOT)
+    hot = [r[0] for r in counted.orderBy(F.col("_rows").desc(), on).limit(MAX_HOT).collect()]
+    if not hot:
+        return big.join(small, on, "left")
+    of_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
+    return big.where(of_hot).join(F.broadcast(small.where(of_hot)), on, "left").unionByName(big.where(~of_hot).join(small, on, "left"))
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: dict[str, str], name: str) -> DataFrame:
     """Exclusive running sums over a total order, without ever sorting one key's rows in one task.
 
     Rows are dealt by ranges of (keys, order) - so a hot key spans many tasks - and staged, which fixes the
     ranges.  Each (range, key) is summed locally; the sums of the earlier ranges of the same key (one row for
-    each range and key) are then added.  ``values`` maps output columns to the summed integer columns.
+    each range and key) are then added.  ``values`` maps output columns to the summed integer columns; nulls in
+    them add nothing, null keys are a key of their own, rows that tie in ``order`` get sums in some order of theirs, and
+    an empty table gives an empty table.
     """
     dealt = df.repartitionByRange(*[F.col(k).asc_nulls_last() for k in keys], *order)
     dealt = stage(dealt.sortWithinPartitions(*[F.col(k).asc_nulls_last() for k in keys], *order).withColumn("_part", F.spark_partition_id()), name)
@@ -132,7 +178,9 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
     Hook-and-contract: every node takes its smallest neighbour as parent, parent chains are halved until they
     are flat, and the edges are contracted to the parents; a round at least halves each component, so the
-    number of rounds is logarithmic.  Every table is staged, nothing is collected.
+    number of rounds is logarithmic.  Every table is staged, nothing of their size is collected, and a root that a third of
+    all nodes point to is looked up without being a join key (`lookup`).  Loops (a = b) and rows with a null are no
+    edges, repeated edges count once, and a table without an edge gives an empty table.
     """
     begin = mark()
     edges = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
@@ -142,13 +190,14 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         hooks = stage(hooks.withColumnRenamed("a", "node"), name)
         while True:
             up = hooks.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-            jumped = stage(hooks.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), name)
+            jumped = stage(lookup(hooks, up, "parent").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), name)
             hooks = jumped.select("node", "parent")
+            hooks._staged = jumped._staged
             if jumped.where("moved").isEmpty():
                 break
-        labels = stage(labels.join(hooks.withColumnRenamed("node", "comp"), "comp", "left").select("id", F.coalesce("parent", "comp").alias("comp")), name)
+        labels = stage(lookup(labels, hooks.withColumnRenamed("node", "comp"), "comp").select("id", F.coalesce("parent", "comp").alias("comp")), name)
         root = lambda c: hooks.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_root"))
-        edges = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y")).where("x <> y")
+        edges = lookup(lookup(edges, root("a"), "a"), root("b"), "b", edges).select(F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y")).where("x <> y")
         edges = stage(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), name)
         release(edges.sparkSession, begin, edges, labels)
     release(labels.sparkSession, begin, labels)
