@@ -105,7 +105,11 @@ def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scan(column: pa.Array | pa.ChunkedArray) -> Words:
-    buf, offsets = raw(column)
+    return scan_bytes(*raw(column))
+
+
+def scan_bytes(buf: np.ndarray, offsets: np.ndarray) -> Words:
+    """The words of texts given as `raw` gives them."""
     total = int(offsets[-1])
     solid = ~_SPACE[buf[:total]]
     edge = np.zeros(total + 1, dtype=bool)
