@@ -20,11 +20,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.common import attach, components, mark, prepare, release, stage
+from quarry.llm.common import attach, components, lookup, mark, prepare, release, stage, unused
 
 HASHES, BAND = 64, 4
 BANDS = 2 * HASHES // BAND
@@ -32,8 +32,10 @@ BANDS = 2 * HASHES // BAND
 FINE = 1024
 #: Standard deviations below the expected number of equal bits at the similarity limit that still count as possible.
 DEVIATIONS = 4.5
-#: Rows of one side of a compared block.
-OUTER_BLOCK, INNER_BLOCK = 256, 1024
+#: Rows of one side of a compared block: as few while a side has up to `CUTS` blocks, as many beyond, so that neither a
+#: task nor the number of copies of a row grows much with a bucket.
+OUTER_BLOCK, INNER_BLOCK = (256, 8192), (1024, 16384)
+CUTS = 16
 #: Rows that one copy of a pivot's shingle set serves.
 PIVOT_ROWS = 256
 
@@ -69,7 +71,6 @@ def signatures(value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.nda
     some = np.flatnonzero(count)
     begin = (np.cumsum(count) - count)[some]
     out = np.zeros((n, 2 * HASHES), np.uint16)
-    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     if len(some):
         for k in range(HASHES):
             p = value * _SEEDS[k]
@@ -77,9 +78,7 @@ def signatures(value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.nda
             p *= _SEEDS[HASHES - 1 - k]
             out[some, k] = W.mix64(np.minimum.reduceat(p, begin)).astype(np.uint16)
             out[some, HASHES + k] = W.mix64(np.maximum.reduceat(p, begin)).astype(np.uint16)
-        one[some] = np.add.reduceat(W.mix64(value ^ _SET1), begin)
-        two[some] = np.add.reduceat(W.mix64(value ^ _SET2), begin)
-    return out.view("<i8").reshape(n, BANDS), one.view(np.int64), two.view(np.int64)
+    return out.view("<i8").reshape(n, BANDS), *_set_hashes(value, count)
 
 
 def _sketch(width: int) -> Callable:
@@ -94,14 +93,30 @@ def _sketch(width: int) -> Callable:
     return run
 
 
+def _set_hashes(value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set of shingles."""
+    one, two = np.zeros(len(count), np.uint64), np.zeros(len(count), np.uint64)
+    some = np.flatnonzero(count)
+    if len(some):
+        begin = (np.cumsum(count) - count)[some]
+        one[some] = np.add.reduceat(W.mix64(value ^ _SET1), begin)
+        two[some] = np.add.reduceat(W.mix64(value ^ _SET2), begin)
+    return one.view(np.int64), two.view(np.int64)
+
+
 def _sets(width: int) -> Callable:
+    """(id, shingles) of rows (id, s1, s2, text); a text that isn't of the class it was taken for (its id is repeated) gives none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
-                value, count = shingles(part.column(1), width)
+                value, count = shingles(part.column(3), width)
+                one, two = _set_hashes(value, count)
+                own = np.flatnonzero((one == part.column(1).to_numpy()) & (two == part.column(2).to_numpy()))
                 ends = np.cumsum(count)
                 raw = value.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[8 * a : 8 * b] for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True)], pa.binary())], names=["id", "shingles"])
+                sets = [raw[8 * a : 8 * b] for a, b in zip((ends - count)[own].tolist(), ends[own].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     return run
 
@@ -132,8 +147,9 @@ def _verify(percent: int) -> Callable:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (id, hub) whose full sets are similar.  A hub's set is copied once for every `PIVOT_ROWS` of its
-    pairs, so a hub of a third of all rows is spread over as many tasks as the others."""
+    """The pairs (id, hub) whose full sets are similar, as (a, b).  A hub's set is copied once for every `PIVOT_ROWS` of its
+    pairs, so a hub of a third of all rows is spread over as many tasks as the others.  Repeated pairs count once, pairs
+    with an id (or a null) that has no set are dropped, no pairs give an empty table."""
     pairs = stage(pairs.distinct(), "near-pairs")
     hubs = pairs.groupBy("hub").agg(F.count("*").alias("n"))
     salts = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PIVOT_ROWS).cast("int") - 1)).alias("salt"), F.ceil(F.col("n") / PIVOT_ROWS).alias("parts"), "n")
@@ -219,6 +235,12 @@ def _blocks(percent: int) -> Callable:
     return run
 
 
+def _cuts(rows: str, block: tuple[int, int]) -> Column:
+    """How many blocks a side of so many rows is cut into."""
+    few, many = (F.ceil(F.col(rows) / b).cast("int") for b in block)
+    return F.greatest(F.least(few, F.lit(CUTS)), many)
+
+
 def _outsiders(members: DataFrame, reps: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of members outside the main component of their bucket with members of other components."""
     now = members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -229,7 +251,7 @@ def _outsiders(members: DataFrame, reps: DataFrame, sets: DataFrame, labels: Dat
     rows = attach(rows, stage(outside, "near-outside"), ["key"], "n")
     rows = stage(rows, "near-rows")
     fine = stage(sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_fine, "id long, fine binary"), "near-fine")
-    rows = rows.join(fine.join(reps.select("id", "bands"), "id"), "id").withColumns({"ny": F.ceil(F.col("u") / OUTER_BLOCK).cast("int"), "nx": F.ceil(F.col("size") / INNER_BLOCK).cast("int"), "h": F.xxhash64("id")})
+    rows = rows.join(fine.join(reps.select("id", "bands"), "id"), "id").withColumns({"ny": _cuts("u", OUTER_BLOCK), "nx": _cuts("size", INNER_BLOCK), "h": F.xxhash64("id")})
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["key", "band", "x", "y", "outer", "id", "comp", "bands", "fine"]
     inner = rows.withColumn("y", every("ny")).withColumn("x", F.pmod("h", "nx").cast("int")).withColumn("outer", F.lit(False)).select(*columns)
@@ -245,14 +267,18 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     Texts are linked if 100 * intersection >= percent * union of their sets of distinct shingles of ``width`` words (a
     shorter text's whole word sequence is its one shingle); component_id is the smallest id reachable and kept says
     that it is the row's own.  Null texts and texts without a word have no shingle and are linked with nothing.  Rows
-    that repeat an id count as one document (linked to whatever one of them is linked to) and are all kept or all not;
-    rows with a null id take no part: component_id is null, kept true.  An empty table gives an empty table.
+    that repeat an id are one document whatever their texts are: it is linked to all that one of them is linked to, and
+    they are all kept or all not (n_shingles is each row's own).  Rows with a null id take no part: component_id is null,
+    kept true.  An empty table gives an empty table.
     """
     spark, begin = prepare(docs.sparkSession), mark()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sketch = stage(rows.mapInArrow(_sketch(width), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "near-sketch")
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stage(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("size"), F.max("bands").alias("bands")), "near-classes")
+    # equal sets are one class; its number is its own, also where rows of several classes repeat an id
+    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"), F.max("bands").alias("bands"))
+    classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "near-classes")
+    repeats = not full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
     # members of buckets that hold two classes at least
     banded = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", "band", F.xxhash64("band", "value").alias("key")).distinct()
@@ -261,9 +287,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     members = stage(met.join(met.groupBy("id").agg(F.sum("size").alias("score")), "id"), "near-scored")
     reps = classes.select("id", "bands")
 
-    needed = members.select(F.col("id").alias("doc_id")).distinct()
-    texts = rows.join(needed, "doc_id", "left_semi")
-    sets = stage(texts.mapInArrow(_sets(width), "id long, shingles binary"), "near-sets")
+    needed = classes.join(members.select("id").distinct(), "id", "left_semi").select(F.col("least").alias("doc_id"), "id", "s1", "s2")
+    sets = rows.join(needed, "doc_id").select("id", "s1", "s2", "text").mapInArrow(_sets(width), "id long, shingles binary")
+    sets = stage(sets.groupBy("id").agg(F.first("shingles").alias("shingles")) if repeats else sets, "near-sets")
 
     # round one: every member against its bucket's pivot
     pivots = members.groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"), F.count("*").alias("n"))
@@ -276,23 +302,43 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     between = linked(pairs, sets, percent).join(seen("a"), "a", "left").join(seen("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
     merged = components(between, "near-cc")
     moved = merged.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-    known = labels.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-    labels = stage(known.unionByName(merged.join(labels.select("id"), "id", "left_anti")), "near-labels")
-
-    final = classes.join(labels, "id", "left").select("s1", "s2", F.coalesce("comp", "id").alias("component_id"), "size")
-    final = stage(final, "near-final")
+    known = lookup(labels, moved, "comp").select("id", F.coalesce("to", "comp").alias("comp"))
+    labels = known.unionByName(merged.join(labels.select("id"), "id", "left_anti"))
+
+    placed = stage(classes.join(labels, "id", "left").select("s1", "s2", "least", "size", F.coalesce("comp", "id").alias("comp")), "near-placed")
+    if repeats:
+        placed = _one_document(full, placed)
+    smallest = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
+    final = stage(lookup(placed, smallest, "comp").select("s1", "s2", "component_id", "size"), "near-final")
     release(spark, begin, sketch, final)
     placed = attach(full.select("doc_id", "n_shingles", "s1", "s2"), final, ["s1", "s2"], "size").select("doc_id", "n_shingles", "component_id")
     rest = sketch.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    if repeats:  # a document without a word in one row may have some in another
+        of_id = placed.groupBy("doc_id").agg(F.min("component_id").alias("own"))
+        rest = rest.join(of_id, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "component_id").alias("component_id"))
     return placed.unionByName(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _one_document(full: DataFrame, placed: DataFrame) -> DataFrame:
+    """``placed`` with the components merged that hold rows of one id."""
+    own = attach(full.select("doc_id", "s1", "s2"), placed.select("s1", "s2", "comp", "size"), ["s1", "s2"], "size").select("doc_id", "comp").distinct()
+    own = stage(own, "near-own")
+    low = own.groupBy("doc_id").agg(F.min("comp").alias("low"), F.count("*").alias("n")).where("n > 1").select("doc_id", "low")
+    merged = components(own.join(low, "doc_id").select(F.col("comp").alias("a"), F.col("low").alias("b")), "near-cc")
+    moved = merged.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    return stage(lookup(placed, moved, "comp").withColumn("comp", F.coalesce("to", "comp")).drop("to"), "near-placed")
+
+
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that aren't the smallest id of their component; all columns stay as they are."""
+    """``docs`` without the rows whose id isn't the smallest of its component; all columns, whatever they are called, stay as they are.
+
+    Nulls, repeated rows and empty tables are treated as `near_components` does: rows with a null id stay.
+    """
     begin = mark()
-    gone = stage(near_components(docs, width, percent, text_col, id_col).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct(), "near-gone")
+    gone_id = unused("_gone", docs.columns)
+    gone = stage(near_components(docs, width, percent, text_col, id_col).where("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct(), "near-gone")
     release(docs.sparkSession, begin, gone)
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti")
 
 
 def op3_minmax_neardup(docs: DataFrame) -> DataFrame:
