@@ -2,47 +2,71 @@
 
 Texts are hashed to 64-bit keys.  A *directory* of ``2**depth`` slots maps a key's leading bits to a bucket;
 a bucket that holds more bytes than its page may splits on its next bit, and the directory doubles whenever a
-bucket gets deeper than the directory (Fagin et al. 1979).  Each owner task builds the pages of one bucket: entries
-with the same key are chained and compared byte for byte, so two texts share a class only if their bytes are
-equal.  The finished pages are files in the shared folder, in key order, and can be probed again.
+bucket gets deeper than the directory (Fagin et al. 1979).  Documents become entries, one for each different text of
+a task, and probe the index with their key: the owner task of a bucket gets its entries in key order, chains entries
+with the same key, compares them byte for byte and answers each with its class.  Two documents are therefore copies only
+if their bytes are equal.  Directory and pages stay in the shared folder, where `probe` looks up other documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import attach, fresh_path, mark, prepare, release, stage
+from quarry.llm.common import attach, fresh_path, mark, prepare, release, stage, unused
 
 #: Bits of a key that directory splits may use; the directory never has more slots than this allows.
 MAX_DEPTH = 16
 #: Uncompressed bytes of a page before its bucket splits.
 PAGE_BYTES = 16 << 20
+#: Bytes of different texts that a task remembers while it looks for copies of them.
+REMEMBERED = 16 << 20
 
-_ENTRY = "key long, text binary, copies long, last_id long"
-_CLASS = "key long, text_sha256 string, chain int, keep_id long, group_size long"
+_ENTRY = pa.schema([("entry", pa.int64()), ("key", pa.int64()), ("text", pa.binary()), ("copies", pa.int64()), ("last_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+_ANSWER = pa.schema([("kind", pa.string()), ("entry", pa.int64()), ("key", pa.int64()), ("chain", pa.int32()), ("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("text", pa.binary())])
+_PAGE = "key long, chain int, text_sha256 string, keep_id long, group_size long, text binary"
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pre-aggregation: copies inside a batch become one entry, so a hot text sends one entry for each batch."""
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of the rows (key, text, id) of a task.
+
+    Copies of a text that is still remembered join its entry, so a text that a third of all rows have costs an entry a
+    task; an entry leaves when `REMEMBERED` bytes of texts have been used since it was.
+    """
+    seen: OrderedDict[bytes, list] = OrderedDict()  # text -> key, ids; least recently used first
+    held, number = 0, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        nonlocal number
+        made = []
+        for text, (key, ids) in rows:
+            made.append({"entry": number, "key": key, "text": text, "copies": len(ids), "last_id": max((i for i in ids if i is not None), default=None), "ids": ids})
+            number += 1
+        return pa.RecordBatch.from_pylist(made, schema=_ENTRY)
+
     for batch in batches:
-        seen: dict[bytes, list] = {}
-        for key, text, doc in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if (entry := seen.get(text)) is None:
-                seen[text] = [key, 1, doc]
+        for key, text, doc in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if (entry := seen.get(text)) is not None:
+                entry[1].append(doc)
+                seen.move_to_end(text)
             else:
-                entry[1] += 1
-                if doc is not None and (entry[2] is None or doc > entry[2]):
-                    entry[2] = doc
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([e[0] for e in seen.values()], pa.int64()), pa.array(list(seen), pa.binary()), pa.array([e[1] for e in seen.values()], pa.int64()), pa.array([e[2] for e in seen.values()], pa.int64())],
-            names=["key", "text", "copies", "last_id"],
-        )
+                seen[text] = [key, [doc]]
+                held += len(text)
+        gone = []
+        while held > REMEMBERED and len(seen) > 1:
+            gone.append(seen.popitem(last=False))
+            held -= len(gone[-1][0])
+        if gone:
+            yield out(gone)
+    while seen:
+        yield out([seen.popitem(last=False) for _ in range(min(512, len(seen)))])
 
 
 def directory(sizes: dict[int, int], depth: int, page_bytes: int, max_depth: int = MAX_DEPTH) -> tuple[int, list[int]]:
@@ -69,51 +93,100 @@ def directory(sizes: dict[int, int], depth: int, page_bytes: int, max_depth: int
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Owner task: entries arrive in key order; equal keys are chained and their bytes compared."""
+    """Owner task: entries (key, text, copies, last_id, entry) arrive in key order; equal keys are chained and their bytes
+    compared.  A class makes a row of the page and, once all its entries are known, an answer for each of them."""
     key, chain = None, []
 
-    def done() -> list[tuple]:
-        return [(key, hashlib.sha256(text).hexdigest(), i, last, copies, text) for i, (text, copies, last) in enumerate(chain)]
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "text_sha256", "chain", "keep_id", "group_size", "text"])
+    def done() -> list[dict]:
+        rows = []
+        for i, (text, copies, last, entries) in enumerate(chain):
+            row = {"key": key, "chain": i, "text_sha256": hashlib.sha256(text).hexdigest(), "keep_id": last, "group_size": copies}
+            rows.append({"kind": "page", "entry": None, "text": text, **row})
+            rows += [{"kind": "answer", "entry": e, "text": None, **row} for e in entries]
+        return rows
 
     for batch in batches:
-        rows: list[tuple] = []
-        for k, text, copies, last in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        rows: list[dict] = []
+        for k, text, copies, last, entry in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if k != key:
                 rows += done()
                 key, chain = k, []
-            for entry in chain:
-                if entry[0] == text:  # the byte comparison
-                    entry[1] += copies
-                    if last is not None and (entry[2] is None or last > entry[2]):
-                        entry[2] = last
+            for c in chain:
+                if c[0] == text:  # the byte comparison
+                    c[1] += copies
+                    c[3].append(entry)
+                    if last is not None and (c[2] is None or last > c[2]):
+                        c[2] = last
                     break
             else:
-                chain.append([text, copies, last])
-        yield out(rows)
-    yield out(done())
+                chain.append([text, copies, last, [entry]])
+        yield pa.RecordBatch.from_pylist(rows, schema=_ANSWER)
+    yield pa.RecordBatch.from_pylist(done(), schema=_ANSWER)
+
+
+def _prefix(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 64 - MAX_DEPTH)
+
+
+def _bucket(key: Column, slots: list[int]) -> Column:
+    """The bucket that the directory gives a key."""
+    if len(slots) == 1:
+        return F.lit(slots[0])
+    shift = MAX_DEPTH - (len(slots).bit_length() - 1)
+    return F.element_at(F.array(*[F.lit(s) for s in slots]), (F.shiftrightunsigned(_prefix(key), shift) + 1).cast("int"))
+
+
+def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.xxhash64(text).alias("key"), F.encode(text, "UTF-8").alias("text"), F.col(id_col).cast("long").alias("id"))
+    return rows.mapInArrow(_entries, "entry long, key long, text binary, copies long, last_id long, ids array<long>")
 
 
 def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", page_bytes: int = PAGE_BYTES) -> tuple[DataFrame, str]:
-    """(classes, folder): one class for each different text, and the index files in the shared folder."""
+    """(entries, folder): the documents' entries (entry, ids), and the folder of the index in the shared folder.
+
+    The folder holds ``directory`` (slot, bucket), ``kind=page`` (one row for each different text, in key order within its
+    bucket) and ``kind=answer`` (the class of each entry).
+    """
     spark = prepare(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.xxhash64(text).alias("key"), F.encode(text, "UTF-8").alias("text"), F.col(id_col).cast("long").alias("last_id"))
-    prefix = F.shiftrightunsigned(F.col("key"), 64 - MAX_DEPTH)
-    found = docs.select(F.xxhash64(text).alias("key"), F.octet_length(text).alias("n")).groupBy("key").agg(F.max("n").alias("n")).groupBy(prefix.alias("p")).agg(F.sum("n").alias("bytes"))
+    entries = stage(_keyed(docs, text_col, id_col).withColumn("size", F.length("text")), "exact-entries")
+    found = entries.groupBy("key").agg(F.max("size").alias("n")).groupBy(_prefix(F.col("key")).alias("p")).agg(F.sum("n").alias("bytes"))
     _, slots = directory({r["p"]: r["bytes"] for r in found.collect()}, MAX_DEPTH, page_bytes)  # at most 2**MAX_DEPTH rows
-    shift = MAX_DEPTH - (len(slots).bit_length() - 1)
-    bucket = F.element_at(F.lit(sorted(set(slots))), F.lit(1)) if len(slots) == 1 else F.element_at(F.array(*[F.lit(s) for s in slots]), (F.shiftrightunsigned(prefix, shift) + 1).cast("int"))
-    entries = keyed.mapInArrow(_combine, _ENTRY).withColumn("bucket", bucket)
-    owners = len(set(slots))
-    dealt = entries.repartition(owners, "bucket").sortWithinPartitions("bucket", "key").select("key", "text", "copies", "last_id")
     folder = fresh_path(spark, "exact-index")
-    dealt.mapInArrow(_chain, f"{_CLASS}, text binary").write.option("compression", "zstd").parquet(folder)
-    schema = T.StructType.fromDDL(_CLASS)
-    return spark.read.schema(schema).parquet(folder), folder
+    dealt = entries.withColumn("bucket", _bucket(F.col("key"), slots)).repartition(len(set(slots)), "bucket").sortWithinPartitions("bucket", "key")
+    answered = dealt.select("key", "text", "copies", "last_id", "entry").mapInArrow(_chain, "kind string, entry long, key long, chain int, text_sha256 string, keep_id long, group_size long, text binary")
+    answered.write.option("compression", "zstd").partitionBy("kind").parquet(folder)
+    spark.createDataFrame(list(enumerate(slots)), "slot int, bucket int").coalesce(1).write.parquet(f"{folder}/directory")
+    return entries.select("entry", "ids"), folder
+
+
+def pages(docs: DataFrame, folder: str) -> DataFrame:
+    """The classes of a stored index: key, chain, text_sha256, keep_id, group_size, text."""
+    return docs.sparkSession.read.schema(T.StructType.fromDDL(_PAGE)).parquet(f"{folder}/kind=page")
+
+
+def probe(docs: DataFrame, folder: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, keep_id, group_size) of each row of ``docs``: the class of a stored index whose bytes equal its text, nulls if none does.
+
+    Null texts count as empty; rows may repeat and have null ids; an empty table gives an empty table.  Different texts of a
+    task are looked up once, so a hot text is compared once a task.
+    """
+    prepare(docs.sparkSession)
+    entries = stage(_keyed(docs, text_col, id_col), "exact-probes")
+    classes = pages(docs, folder).select("key", F.col("text").alias("same"), "keep_id", "group_size")
+    found = entries.join(classes, (entries["key"] == classes["key"]) & (F.col("text") == F.col("same")), "left")
+    return found.select(F.explode("ids").alias("id"), "keep_id", "group_size")
+
+
+def verdicts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256), one row for each row of ``docs``, as `exact_dedup` says."""
+    entries, folder = build_index(docs, text_col, id_col, page_bytes)
+    schema = "entry long, text_sha256 string, keep_id long, group_size long"
+    if docs.sparkSession.read.parquet(f"{folder}/directory").isEmpty() or entries.isEmpty():
+        return docs.sparkSession.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
+    answers = docs.sparkSession.read.schema(T.StructType.fromDDL(schema)).parquet(f"{folder}/kind=answer")
+    rows = entries.join(answers, "entry").select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", "text_sha256")
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", page_bytes: int = PAGE_BYTES) -> DataFrame:
@@ -125,35 +198,38 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     An empty table gives an empty result.  Extra columns pass through untouched; columns of ``docs`` that are
     called like an output are replaced.
     """
-    classes, _ = build_index(docs, text_col, id_col, page_bytes)
+    made = ("keep_id", "group_size", "kept", "text_sha256")
+    own = docs.drop(*[c for c in made if c in docs.columns and c not in (text_col, id_col)])
+    doc, sha, weight = (unused(x, docs.columns) for x in ("_doc", "_sha", "_weight"))
+    found = verdicts(docs, text_col, id_col, page_bytes).groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias(doc), F.col("text_sha256").alias(sha))
+    found = stage(found.agg(F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"), F.first("kept").alias("kept"), F.count("*").alias(weight)), "exact-verdicts")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.drop(*[c for c in ("keep_id", "group_size", "kept", "text_sha256") if c in docs.columns and c not in (text_col, id_col)])
-    rows = own.withColumns({"_key": F.xxhash64(text), "text_sha256": F.sha2(F.encode(text, "UTF-8"), 256)})
-    found = classes.select(F.col("key").alias("_key"), "text_sha256", "keep_id", "group_size", F.col("group_size").alias("_weight"))
-    out = attach(rows, found, ["_key", "text_sha256"], "_weight").drop("_key")
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+    rows = own.withColumns({doc: F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("-")), sha: F.sha2(F.encode(text, "UTF-8"), 256)})
+    return attach(rows, found, [doc, sha], weight).withColumnRenamed(sha, "text_sha256").select(*own.columns, *made)
 
 
 def drop_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row of each group of equal texts, with the columns of ``docs``.
 
-    Rows that repeat id and text both are told apart by their other columns; full repeats collapse to one row.
+    Of rows that repeat id and text both one stays.  A null text counts as the empty one, a null id stays only where its
+    text has no id at all, an empty table gives an empty table.  Extra columns, whatever they are called, pass through.
     """
     begin = mark()
-    slim = exact_dedup(docs.select(id_col, text_col), text_col, id_col).where("kept").groupBy(id_col, "text_sha256").agg(F.count("*").alias("_n"))
-    staged = stage(slim, "exact-kept")
+    doc, sha, n, own = (unused(x, docs.columns) for x in ("_id", "_of", "_n", "_sha"))
+    bare = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = verdicts(bare).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias(n))
+    staged = stage(slim.select(F.col("doc_id").alias(doc), F.col("text_sha256").alias(sha), n), "exact-kept")
     release(docs.sparkSession, begin, staged)
-    slim = staged.select(F.col(id_col).alias("_id"), "text_sha256", "_n")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_sha", F.sha2(F.encode(text, "UTF-8"), 256))
-    single = rows.join(slim, (F.col(id_col).eqNullSafe(F.col("_id"))) & (F.col("_sha") == F.col("text_sha256")))
-    once = single.where("_n = 1").select(*docs.columns)
-    again = single.where("_n > 1").dropDuplicates([id_col, "_sha"]).select(*docs.columns)
+    rows = docs.withColumn(own, F.sha2(F.encode(text, "UTF-8"), 256))
+    found = rows.join(staged, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(sha)))
+    once = found.where(F.col(n) == 1).select(*docs.columns)
+    again = found.where(F.col(n) > 1).dropDuplicates([id_col, own]).select(*docs.columns)
     return once.unionByName(again)
 
 
 def op8_exact_dedup(docs: DataFrame) -> DataFrame:
-    return exact_dedup(docs.select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return verdicts(docs)
 
 
 ORACLE_SQL = """

@@ -184,8 +184,9 @@ def test_directory_doubles_and_splits():
     depth, slots = exact_dedup.directory({0: 10, 1: 10, 2: 1, 7: 100}, 3, 15)
     assert depth == 3 and slots == [0, 1, 2, 2, 4, 4, 6, 7]
     assert exact_dedup.directory({}, 3, 15) == (0, [0])
-    chained = list(exact_dedup._chain(iter([pa.RecordBatch.from_pydict({"key": [5, 5, 5], "text": [b"a", b"b", b"a"], "copies": [1, 1, 2], "last_id": [3, 9, None]})])))
-    rows = [r for b in chained for r in b.to_pylist()]
+    chained = list(exact_dedup._chain(iter([pa.RecordBatch.from_pydict({"key": [5, 5, 5], "text": [b"a", b"b", b"a"], "copies": [1, 1, 2], "last_id": [3, 9, None], "entry": [70, 71, 72]})])))
+    rows = [r for b in chained for r in b.to_pylist() if r["kind"] == "page"]
+    assert {(r["entry"], r["chain"]) for b in chained for r in b.to_pylist() if r["kind"] == "answer"} == {(70, 0), (72, 0), (71, 1)}
     assert [(r["chain"], r["text"], r["group_size"], r["keep_id"]) for r in rows] == [(0, b"a", 3, 3), (1, b"b", 1, 9)]
 
 
