@@ -34,6 +34,10 @@ NOISE_WORDS = frozenset(
 STATE_WORDS = frozenset("has no not with without".split())
 #: Elements whose boilerplate-looking class is ignored: they are the page's main content by definition.
 MAIN = frozenset("html body article main".split())
+#: Of these, what a page declares to be an article.
+DECLARED = frozenset("article main".split())
+#: Blocks of text, which are no containers of others' articles.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd pre blockquote table figure figcaption address details summary header".split())
 #: Opening one of these closes an open p.
 CLOSES_P = BLOCK - frozenset("body html li dd dt td th tr tbody thead tfoot legend summary figcaption".split())
 #: Opening the key closes an open element of the value, up to a container of the third set.
@@ -43,8 +47,8 @@ _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTR = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[a-zA-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -63,16 +67,26 @@ def _boilerplate(tag: str, attrs: str) -> tuple[bool, bool]:
     """Whether an element is boilerplate by its kind or hidden, and whether its class, id or role only suggests so."""
     if tag in NOISE:
         return True, False
-    if tag in MAIN or not attrs.strip():
+    if not attrs.strip():
         return False, False
-    if _HIDDEN.search(attrs):
-        return True, False
+    suspect = False
     for m in _ATTR.finditer(attrs):
-        for name in (m[2] or m[3] or m[4] or "").lower().split():
-            found = _WORDS.findall(name)
-            if not NOISE_WORDS.isdisjoint(found) and STATE_WORDS.isdisjoint(found):
-                return False, True
-    return False, False
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _NO_DISPLAY.search(value):
+            return True, False
+        if name in ("class", "id", "role") and tag not in MAIN and not suspect:
+            for word in value.lower().split():
+                found = _WORDS.findall(word)
+                suspect = suspect or not NOISE_WORDS.isdisjoint(found) and STATE_WORDS.isdisjoint(found)
+    return False, suspect
+
+
+def _inside(node: Node | None, tags: frozenset) -> bool:
+    while node is not None:
+        if node.tag in tags:
+            return True
+        node = node.parent
+    return False
 
 
 def parse(page: str) -> Node:
@@ -127,7 +141,10 @@ def parse(page: str) -> Node:
             close_to(*CLOSES[name])
         if here.tag == "head" and (name in BLOCK or name == "a"):
             here = here.parent or root
-        node = Node(name, here, *_boilerplate(name, attrs))
+        noise, suspect = _boilerplate(name, attrs)
+        if name == "header" and _inside(here, DECLARED):
+            noise = attrs != "" and _boilerplate("div", attrs)[0]  # the head of the article itself
+        node = Node(name, here, noise, suspect)
         here.children.append(node)
         if name in VOID or attrs.endswith("/") and name not in BLOCK and name not in RAW:
             continue
@@ -150,7 +167,8 @@ def _walk(root: Node) -> list[Node]:
 
 
 def settle(root: Node) -> None:
-    """Make suspects noise, except those that hold a main, the largest article (in the main, if there is one), or most of the page's text outside links."""
+    """Make suspects noise, except those that hold a main, the largest article (in the main, if there is one), or, without
+    an article, most of the page's text outside links."""
     order = _walk(root)
     if not any(n.suspect for n in order):
         return
@@ -168,8 +186,8 @@ def settle(root: Node) -> None:
         while node is not None:
             held.add(id(node))
             node = node.parent
-    for node in order:  # beside a main, a suspect is noise whatever it holds
-        if node.suspect and id(node) not in held and not (id(node) in inside and 2 * plain[id(node)] > plain[id(root)]):
+    for node in order:  # beside a main or an article, a suspect is noise whatever it holds
+        if node.suspect and id(node) not in held and (articles or id(node) not in inside or 2 * plain[id(node)] <= plain[id(root)]):
             node.noise = True
 
 
@@ -204,20 +222,36 @@ def _block(node: Node) -> Node:
     return node
 
 
+def _article(node: Node, root: Node, threshold: float) -> Node:
+    """The article that a maximum-sum subtree is part of.
+
+    A declared article around it; else, of a block without blocks in it (a paragraph), the block that holds it.  There, text
+    beside the paragraph belongs to it, but containers under the threshold are left out.
+    """
+    around = node
+    while around is not None:
+        if around.tag in DECLARED:
+            return around
+        around = around.parent
+    if node is root or any(isinstance(c, Node) and c.tag in BLOCK and not c.noise for c in node.children):
+        return node
+    holder = _block(node.parent)
+    for c in holder.children:
+        if isinstance(c, Node) and c.tag in BLOCK and c.tag not in TEXTUAL and c.density < threshold:
+            c.noise = True
+    return holder
+
+
 def select(root: Node) -> list[Node]:
     """The subtrees to extract, in page order; none lies in another.
 
-    A declared article is taken alone.  Otherwise the threshold is the smallest density on the path from the body to the
-    node with the largest density sum.  From the body downwards, every block whose density reaches the threshold gives the
-    node with the largest density sum in it, so that an article in several sibling blocks comes out whole.
+    The threshold is the smallest density on the path from the body to the node with the largest density sum.  From the
+    body downwards, every block whose density reaches the threshold gives the node with the largest density sum in it, so
+    that an article in several blocks comes out whole; each is widened to its article (`_article`).
     """
     settle(root)
-    order = measure(root)
-    explicit = [n for n in order if n.tag in ("article", "main") and n.chars and not n.link_chars * 2 > n.chars]
-    if explicit:
-        return [max(explicit, key=lambda n: n.total)]
-    for n in order:  # without a declared article, blocks that are mostly links are menus
-        n.noise = n.noise or n is not root and n.tag in BLOCK and n.link_chars * 2 > n.chars > 0
+    for n in measure(root):  # outside declared articles, blocks that are mostly links are menus
+        n.noise = n.noise or n is not root and n.tag in BLOCK and n.link_chars * 2 > n.chars > 0 and not _inside(n, DECLARED)
     order = [n for n in _walk(root) if n.chars]
     if not order:
         return [root]
@@ -229,12 +263,13 @@ def select(root: Node) -> list[Node]:
     while node is not None:
         threshold = min(threshold, node.density if node.density > 0 else threshold)
         node = node.parent
-    taken, todo = set(), [root]
+    chosen, todo = [], [root]
     while todo:
         node = todo.pop()
         if node.tag in BLOCK:
-            taken.add(id(_block(top[id(node)])))
+            chosen.append(_block(top[id(node)]))
         todo += [c for c in node.children if isinstance(c, Node) and id(c) in top and c.density >= threshold]
+    taken = {id(_article(n, root, threshold)) for n in {id(n): n for n in chosen}.values()}
     found, todo = [], [root]
     while todo:
         node = todo.pop()
