@@ -16,15 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.common import prepare
+from quarry.llm.common import mark, prepare, release, stage
 
 WINDOW, STRIDE = 32, 16
 CHAR_DIMS, WORD_DIMS = 1 << 13, 1 << 12
 EMBED, HIDDEN = 12, 8
-#: At most so many labelled rows are fitted: the smallest id hashes of each class, half of them toxic.
+#: At most so many labelled rows are fitted, half of them toxic: the smallest id hashes of each class ...
 SAMPLE_ROWS = 2400
-#: Of a training text, windows are drawn anew in each epoch; texts of up to this many windows are used whole.
-TRAIN_WINDOWS = 24
+#: ... and of each class no more than have so many bytes of text together.  This bounds the driver.
+SAMPLE_BYTES = 8 << 20
+#: Windows that are worked on at a time.
+STEP = 4096
 THRESHOLD = 0.3
 
 #: Character n-grams of a word, its boundary marks included: 3 to 5 bytes at the front, 3 anywhere.
@@ -161,33 +163,55 @@ def backward(p: dict[str, np.ndarray], v: np.ndarray, kept: tuple, g: np.ndarray
     return d, d_v
 
 
+def _windows_of(counts: np.ndarray) -> np.ndarray:
+    """Windows of each text: one at least, the last may be short."""
+    return np.maximum(-(-np.maximum(counts - WINDOW, 0) // STRIDE), 0) + 1
+
+
+def _places(counts: np.ndarray, first: np.ndarray, text: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Word positions (windows, WINDOW) of each text's k-th window, -1 beyond its end."""
+    at = (k * STRIDE)[:, None] + np.arange(WINDOW)
+    return np.where(at < counts[text][:, None], first[text][:, None] + at, -1)
+
+
 def window_words(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word positions (windows, WINDOW), text of each window): every text has at least one window, the last may be short."""
-    per = np.maximum(-(-np.maximum(counts - WINDOW, 0) // STRIDE), 0) + 1
+    """(word positions (windows, WINDOW), text of each window) of all windows."""
+    per = _windows_of(counts)
     text = np.repeat(np.arange(len(counts)), per)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    at = (k * STRIDE)[:, None] + np.arange(WINDOW)
-    return np.where(at < counts[text][:, None], first[text][:, None] + at, -1), text
+    return _places(counts, first, text, np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)), text
 
 
 class Model:
     def __init__(self, p: dict[str, np.ndarray]):
         self.p = p
 
-    def scores(self, column: pa.Array, step: int = 4096) -> np.ndarray:
-        """Score of each whole text: the highest probability of its overlapping windows."""
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """Score of each whole text: the highest probability of its overlapping windows.
+
+        Windows are made and scored `STEP` times 8 at a time, so that what a very long text needs besides its words' places
+        doesn't grow with it.
+        """
         w = W.scan(column)
-        buf = W._LOWER[w.buf]
-        lexicon = Lexicon(buf, w.starts, w.ends, W.hash_spans(buf, w.starts, w.ends))
-        v = lexicon.vectors(self.p)
-        v = v if len(v) else np.zeros((1, EMBED), np.float32)
-        at, text = window_words(w.counts, w.first[:-1])
+        buf, first = W._LOWER[w.buf], w.first[:-1]
+        per = _windows_of(w.counts)
+        ends = np.cumsum(per)
         best = np.full(len(w.counts), -np.inf, np.float32)
-        where = lexicon.where if len(lexicon.where) else np.zeros(1, np.int64)
-        for i in range(0, len(text), step):
-            part = at[i : i + step]
-            logit, _ = forward(self.p, v, np.where(part >= 0, where[np.maximum(part, 0)], -1))
-            np.maximum.at(best, text[i : i + step], logit)
+        total = int(ends[-1]) if len(ends) else 0
+        for lo in range(0, total, 8 * STEP):
+            number = np.arange(lo, min(lo + 8 * STEP, total))
+            text = np.searchsorted(ends, number, side="right")
+            at = _places(w.counts, first, text, number - (ends - per)[text])
+            some = at[at >= 0]
+            base, top = (int(some.min()), int(some.max()) + 1) if len(some) else (0, 0)
+            starts, stops = w.starts[base:top], w.ends[base:top]
+            lexicon = Lexicon(buf, starts, stops, W.hash_spans(buf, starts, stops))
+            v = lexicon.vectors(self.p)
+            v = v if len(v) else np.zeros((1, EMBED), np.float32)
+            where = lexicon.where if len(lexicon.where) else np.zeros(1, np.int64)
+            for i in range(0, len(text), STEP):
+                part = at[i : i + STEP]
+                logit, _ = forward(self.p, v, np.where(part >= 0, where[np.maximum(part - base, 0)], -1))
+                np.maximum.at(best, text[i : i + STEP], logit)
         return _sigmoid(best.astype(np.float64))
 
 
@@ -213,7 +237,6 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, steps: int = 5
         for i in range(0, len(order), batch):
             rows = order[i : i + batch]
             picked = [np.arange(begin[r], begin[r + 1]) for r in rows]
-            picked = [x if len(x) <= TRAIN_WINDOWS else rng.choice(x, TRAIN_WINDOWS, replace=False) for x in picked]
             which, owner = np.concatenate(picked), np.repeat(np.arange(len(rows)), [len(x) for x in picked])
             local, back = np.unique(at[which], return_inverse=True)
             back = back.reshape(at[which].shape)
@@ -222,10 +245,11 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 14, steps: int = 5
             here = back - 1 if pad else back
             sub = _subset(lexicon, used if len(used) else np.zeros(1, np.int64))
             v = sub.vectors(p)
-            logit, _ = forward(p, v, here)
+            logit = np.concatenate([forward(p, v, here[j : j + STEP])[0] for j in range(0, len(here), STEP)])
             best = np.full(len(rows), -np.inf)
             np.maximum.at(best, owner, logit)
-            lead = np.array([np.flatnonzero((owner == j) & (logit == best[j]))[0] for j in range(len(rows))])
+            lead = np.flatnonzero(logit == best[owner])
+            lead = lead[np.unique(owner[lead], return_index=True)[1]]  # the first of equals
             y = labels[rows].astype(np.float32)
             logit, kept = forward(p, v, here[lead], keep=True)
             g = ((_sigmoid(logit) - y) / len(rows)).astype(np.float32)
@@ -257,16 +281,29 @@ def held_out(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most ``sample_rows`` labelled rows that aren't held out, half of each class, smallest id hashes first."""
-    prepare(docs.sparkSession)
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most ``sample_rows`` labelled rows that aren't held out, half of each class, smallest id hashes first.
+
+    Of each class at most ``sample_bytes`` bytes of whole texts come to the driver (the first texts that fit together, in
+    that order).  Null labels are ignored; of several labels of one id the largest counts, of several texts of one id
+    the smallest; null texts count as empty.  Without a labelled row the scores are those of an untrained network.
+    """
+    spark, since = prepare(docs.sparkSession), mark()
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     half = sample_rows // 2
     order = [F.xxhash64("_id"), F.col("_id")]
     sample = marked.where("_label = 1").orderBy(*order).limit(half).unionAll(marked.where("_label = 0").orderBy(*order).limit(half))
-    found = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_label", F.coalesce("_text", F.lit("")).alias("_text"))
-    rows = sorted(found.collect(), key=lambda r: (r["_id"], r["_text"]))[: 2 * sample_rows]  # bounded by the sample
-    return train([r["_text"] for r in rows], np.array([r["_label"] for r in rows]))
+    found = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(sample), "_id")
+    staged = stage(found.groupBy("_id", "_label").agg(F.min("_text").alias("_text")).withColumn("_place", F.xxhash64("_id")), "toxic-sample")
+    sizes = sorted((r["_label"], r["_place"], r["_id"], r["n"]) for r in staged.select("_label", "_place", "_id", F.octet_length("_text").alias("n")).collect())  # at most sample_rows
+    wanted, held = [], {0: 0, 1: 0}
+    for label, _, doc, n in sizes:
+        held[label] += n
+        if held[label] <= sample_bytes:
+            wanted.append(doc)
+    rows = sorted((r["_id"], r["_text"], r["_label"]) for r in staged.where(F.col("_id").isin(wanted)).toLocalIterator()) if wanted else []
+    release(spark, since)
+    return train([r[1] for r in rows], np.array([r[2] for r in rows]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -276,16 +313,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
     without a shuffle: repeated rows score the same, a score equal to the threshold is predicted 1, an empty table
     gives an empty table.  Extra columns pass through; those called like an output are replaced.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     others = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
     schema = docs.select(*others).schema.add("score", "double").add("predicted", "integer")
-    held = spark.sparkContext.broadcast(model.p)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Model(held.value)
         for batch in batches:
             for part in W.slices(batch, batch.schema.names[-1]):
-                s = scorer.scores(part.column(part.num_columns - 1))
+                s = model.scores(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
     return docs.select(*others, F.col(text_col)).mapInArrow(run, schema)
