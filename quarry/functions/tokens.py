@@ -79,11 +79,6 @@ def query_term_column(column: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(tokens(column), lambda t: F.length(t) > 1)))
 
 
-def query_token_column(column: Column) -> Column:
-    """The distinct words of a column of queries as they are written, lower-cased; accents stay (`query_term_column` folds)."""
-    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(TOKEN), 0), lambda t: F.length(t) > 1)))
-
-
 def query_phrase_column(column: Column) -> Column:
     """`query_phrases` over a column of queries, each phrase as its tokens joined by one space."""
     words = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(IDENTIFIER), 0)

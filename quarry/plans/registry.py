@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.structure import split_documents
-from quarry.functions.tokens import query_phrase_column, query_phrases, query_term_column, query_token_column, query_tokens
+from quarry.functions.tokens import query_phrase_column, query_phrases, query_term_column, query_tokens
 from quarry.operators import index, legs, read, search, sync
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,9 +134,9 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return index.corpus_stats(chunks(s, d)).withColumn("avgdl", F.round("avgdl", 6))
 
 
-@_register("fts_query_tokens", f"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda x: length(x) > 1))), ' ') AS words FROM benchmark")
+@_register("fts_query_tokens", f"SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(strip_accents(lower(text)), '{TOKEN}'), lambda x: length(x) > 1))), ' ') AS words FROM benchmark")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _table(s, d, "benchmark").select("item_id", F.array_join(query_token_column(F.col("text")), " ").alias("words"))
+    return _table(s, d, "benchmark").select("item_id", F.array_join(query_term_column(F.col("text")), " ").alias("words"))
 
 
 @_register(
@@ -177,6 +177,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _hits(legs.phrase_leg(chunks(s, d), _PHRASES))
 
 
+@_register("indexed_phrase_top50", f"WITH {_TOK}, {_bm25(_PHRASES, 'leg')} {_HIT} leg")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return _hits(legs.indexed_phrase_leg(index.postings(chunks(s, d)), index.corpus_stats(chunks(s, d)), _PHRASES))
+
+
 @_register("dense_knn_top50", f"WITH {_knn('leg')} {_HIT} leg")
 def _(s: SparkSession, d: str) -> DataFrame:
     return _hits(legs.dense_leg(vectors(s, d), query_vector(s, d)))
@@ -192,7 +197,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return _hits(legs.dense_leg(vectors(s, d), query_vector(s, d), ["1", "4", "6"]))
 
 
-_BATCH = rf"""WITH {_TOK}, w AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '{TOKEN}'), lambda x: length(x) > 1))) AS term FROM benchmark),
+_BATCH = rf"""WITH {_TOK}, w AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(strip_accents(lower(text)), '{TOKEN}'), lambda x: length(x) > 1))) AS term FROM benchmark),
 st AS (SELECT count(*) AS n, avg(len(t) + 1) AS avgdl FROM tok),
 p AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(t) + 1 AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
