@@ -30,8 +30,11 @@ class Library:
         return self._open
 
     def _known(self, index: snapshot.Index, source: str) -> str:
-        if index["sources"].where(F.col("name") == source).isEmpty():
-            raise ValueError(f"unknown source {source!r}")
+        names = sorted(r["name"] for r in index["sources"].select("name").collect())  # bounded by the registry
+        if not names:
+            raise ValueError("the index is empty: nothing has been indexed yet")
+        if source not in names:
+            raise ValueError(f"unknown source {source!r}; known are: {', '.join(names)}")
         return source
 
     def list_sources(self) -> DataFrame:
@@ -42,6 +45,12 @@ class Library:
         titles = read.sample_titles(i["files"])
         return named.select("source", "type", "description", "sync_status", "index_status").join(counted, "source").join(titles, "source", "left").orderBy("source")
 
+    def totals(self) -> DataFrame:
+        """One row: sources, files and chunks of the whole index."""
+        i = self.index
+        counted = read.list_sources(i["sources"].withColumnRenamed("name", "source"), i["files"], i["chunks"])
+        return counted.agg(F.count("*").alias("sources"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
+
     def search_docs(self, query: str, source: str, limit: int = 8) -> DataFrame:
         """Hits of one source with their provenance, best first."""
         i = self.index
@@ -98,7 +107,7 @@ def application(library: Library) -> Callable[[dict[str, Any], Callable[..., Any
         if path == "/health":
             return library.health()
         if path == "/sources":
-            return 200, {"sources": _rows(library.list_sources())}
+            return 200, {"sources": _rows(library.list_sources()), "totals": _rows(library.totals())[0]}
         if path == "/search":
             hits = _rows(library.search_docs(q["query"], q["source"], int(q.get("limit", 8))))
             return 200, {"hits": hits, "total": len(hits)}

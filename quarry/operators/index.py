@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,19 +10,37 @@ from quarry.functions.tokens import tokens
 
 
 def tokenized(chunks: DataFrame, heading: bool = False) -> DataFrame:
-    """source, chunk_id, text tokens, heading tokens and dl (tokens of both plus one for the source)."""
+    """source, chunk_id, text tokens, heading tokens and dl (tokens of both plus one for the source).
+
+    The tokens come out of a generator, which the optimiser doesn't repeat: however often later expressions use them, a
+    chunk is tokenised once a scan.
+    """
     head = tokens(F.col("heading")) if heading else F.array().cast("array<string>")
-    return chunks.select("source", "chunk_id", tokens(F.col("text")).alias("t"), head.alias("h")).withColumn("dl", (F.size("t") + F.size("h") + 1).cast("long"))
+    cut = chunks.select("source", "chunk_id", F.inline(F.array(F.struct(tokens(F.col("text")).alias("t"), head.alias("h")))))
+    return cut.withColumn("dl", (F.size("t") + F.size("h") + 1).cast("long"))
+
+
+def _positions(text: pa.Array, heading: pa.Array) -> pa.Array:
+    """For each chunk its different terms with their places among the tokens of the text and of the heading."""
+    rows = []
+    for parts in zip(text.to_pylist(), heading.to_pylist(), strict=True):
+        found: dict[str, tuple[list[int], list[int]]] = {}
+        for k, words in enumerate(parts):
+            for i, word in enumerate(words):
+                found.setdefault(word, ([], []))[k].append(i)
+        rows.append([{"term": t, "pos_text": a, "pos_heading": b} for t, (a, b) in found.items()])
+    return pa.array(rows, pa.list_(pa.struct([("term", pa.string()), ("pos_text", pa.list_(pa.int32())), ("pos_heading", pa.list_(pa.int32()))])))
 
 
 def postings(chunks: DataFrame, heading: bool = False) -> DataFrame:
-    """source, chunk_id, term, tf_text, tf_heading, dl: one row for each different term of a chunk.
+    """source, chunk_id, term, tf_text, tf_heading, pos_text, pos_heading, dl: one row for each different term of a chunk.
 
-    Sorted by term within files when written, so that a query's ``term IN (...)`` prunes row groups.
+    A chunk's terms are counted within its row, so nothing is shuffled.  Sorted by term within files when written, so that
+    a query's ``term IN (...)`` prunes row groups.
     """
-    tok = tokenized(chunks, heading)
-    terms = tok.select("source", "chunk_id", "dl", F.explode(F.concat(F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(0).alias("part"))), F.transform("h", lambda x: F.struct(x.alias("term"), F.lit(1).alias("part"))))).alias("e"))
-    return terms.groupBy("source", "chunk_id", "dl", F.col("e.term").alias("term")).agg(F.sum(F.when(F.col("e.part") == 0, 1).otherwise(0)).cast("long").alias("tf_text"), F.sum(F.when(F.col("e.part") == 1, 1).otherwise(0)).cast("long").alias("tf_heading"))
+    counted = F.arrow_udf(_positions, "array<struct<term:string,pos_text:array<int>,pos_heading:array<int>>>")("t", "h")
+    terms = tokenized(chunks, heading).select("source", "chunk_id", "dl", F.inline(counted))
+    return terms.withColumns({"tf_text": F.size("pos_text").cast("long"), "tf_heading": F.size("pos_heading").cast("long")})
 
 
 def term_stats(posted: DataFrame) -> DataFrame:

@@ -58,16 +58,25 @@ def score_phrases(chunks: DataFrame, phrases: Sequence[Sequence[str]], sources:
     order, so that scores don't depend on the partitioning.
     """
     tok = tokenized(chunks, heading)
-    tok = tok.select("source", "chunk_id", "dl", spaced(F.col("t")).alias("t"), spaced(F.col("h")).alias("h"))
+    tok = tok.select("source", "chunk_id", "dl", F.inline(F.array(F.struct(spaced(F.col("t")).alias("t"), spaced(F.col("h")).alias("h")))))
     weighed = [(TEXT_WEIGHT, "t"), (HEADING_WEIGHT, "h")] if heading else [(TEXT_WEIGHT, "t")]
     f = {i: reduce(lambda x, y: x + y, [w * phrase_frequency(F.col(c), p) for w, c in weighed]) for i, p in enumerate(phrases)}
-    counted = tok.select("source", "chunk_id", "dl", *[c.cast("double").alias(f"f{i}") for i, c in f.items()])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"df{i}") for i in f])
+    counted = tok.select("source", "chunk_id", "dl", F.inline(F.array(F.struct(*[c.cast("double").alias(f"f{i}") for i, c in f.items()]))))
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *_frequencies(len(f)))
+    return _scored(counted, stats, len(f), sources)
+
+
+def _frequencies(n: int) -> list[Column]:
+    return [F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"df{i}") for i in range(n)]
+
+
+def _scored(counted: DataFrame, stats: DataFrame, n: int, sources: Sequence[str] | None) -> DataFrame:
+    """(chunk_id, score) of the wanted sources' rows with a match; ``stats`` is one row: n, avgdl, df0, df1, ..."""
     total = F.lit(0.0)
-    for i in f:
+    for i in range(n):
         total = total + F.when(F.col(f"f{i}") > 0, _idf(F.col("n"), F.col(f"df{i}")) * _saturate(F.col(f"f{i}"), F.col("dl"), F.col("avgdl"))).otherwise(F.lit(0.0))
     any_match = F.lit(False)
-    for i in f:
+    for i in range(n):
         any_match = any_match | (F.col(f"f{i}") > 0)
     matched = _scoped(counted, sources).where(any_match)
     one = F.broadcast(stats)  # a single row
@@ -92,6 +101,28 @@ def indexed_leg(postings: DataFrame, terms: DataFrame, stats: DataFrame, words:
     return _ranked(scored.select("chunk_id", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score")), k)
 
 
+def indexed_phrase_leg(postings: DataFrame, stats: DataFrame, phrases: Sequence[Sequence[str]], sources: Sequence[str] | None = None, k: int = CANDIDATES) -> DataFrame:
+    """The phrase leg over stored postings: adjacency is decided by the terms' places, no text is read.
+
+    Only the phrases' terms reach the plan; chunks are put together from their rows (a handful each).
+    """
+    words = sorted({w for p in phrases for w in p})
+    hits = postings.where(F.col("term").isin(*words)).groupBy("source", "chunk_id", "dl")
+    places = F.map_from_entries(F.collect_list(F.struct("term", F.struct(F.col("pos_text").alias("t"), F.col("pos_heading").alias("h")))))
+    chunks = hits.agg(places.alias("at"))
+    none = F.array().cast("array<int>")
+
+    def count(phrase: Sequence[str], part: str) -> Column:
+        at = [F.coalesce(F.try_element_at("at", F.lit(w))[part], none) for w in phrase]
+        follows = lambda p: reduce(lambda x, y: x & y, [F.array_contains(a, (p + i).cast("int")) for i, a in enumerate(at[1:], 1)], F.lit(True))
+        return F.size(F.filter(at[0], follows))
+
+    f = [(TEXT_WEIGHT * count(p, "t") + HEADING_WEIGHT * count(p, "h")).cast("double").alias(f"f{i}") for i, p in enumerate(phrases)]
+    counted = chunks.select("source", "chunk_id", "dl", F.inline(F.array(F.struct(*f))))
+    one = stats.select("n", "avgdl").crossJoin(F.broadcast(counted.agg(*_frequencies(len(f)))))  # a single row
+    return _ranked(_scored(counted, one, len(f), sources), k)
+
+
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two float arrays, summed in order in double precision."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
@@ -122,4 +153,4 @@ def batch_lexical(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES) ->
     return scored.withColumn("rank", (rank - 1).cast("long")).where(F.col("rank") < k)
 
 
-__all__ = ["batch_lexical", "dense_leg", "distance", "indexed_leg", "lexical_leg", "phrase_leg", "score_phrases", "tokens"]
+__all__ = ["batch_lexical", "dense_leg", "distance", "indexed_leg", "indexed_phrase_leg", "lexical_leg", "phrase_leg", "score_phrases", "tokens"]

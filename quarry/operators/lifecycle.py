@@ -111,7 +111,7 @@ def index_rows(documents: DataFrame, now: datetime, embedder: HashingEmbedder) -
     return {
         "files": files,
         "chunks": chunks,
-        "postings": posted.select(*unkeyed, "chunk_id", "dl", "term", "tf_text", "tf_heading"),
+        "postings": posted.select(*unkeyed, "chunk_id", "dl", "term", "tf_text", "tf_heading", "pos_text", "pos_heading"),
         "lengths": lengths.select(*unkeyed, "chunk_id", "dl"),
         "vectors": chunks.select("source", "path", "chunk_id", embedder.passages(passage).alias("embedding")),
     }
@@ -212,6 +212,13 @@ def sync_index(
             shutil.rmtree(work, ignore_errors=True)
 
 
+def _delete_inside(root: Path, name: str) -> None:
+    """Delete a source's folder; a name out of the index that points elsewhere deletes nothing."""
+    folder = (root / name).resolve()
+    if folder.parent == root.resolve() and folder.name == name:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
 def _empty(spark: SparkSession, settings: Settings) -> snapshot.Index:
     tables = {name: spark.createDataFrame([], schema) for name, schema in snapshot.TABLES.items()}
     return snapshot.Index(snapshot.current_version(settings.index), {}, tables)
@@ -240,7 +247,7 @@ def _run(run: _Run, wanted: dict[str, registry.Source], plan: list[tuple[str, st
             result.counts["removed"] = files.count()
             gone.append(files)
             rows.pop(name, None)
-            shutil.rmtree(run.settings.materialized / name, ignore_errors=True)
+            _delete_inside(run.settings.materialized, name)
             continue
         source, revision = wanted[name], None
         if action != "metadata":

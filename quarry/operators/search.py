@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.tokens import TOKEN, query_phrases, query_tokens
-from quarry.operators.legs import CANDIDATES, dense_leg, indexed_leg, lexical_leg, phrase_leg
+from quarry.functions.tokens import TOKEN, query_phrases, query_term_column, query_tokens
+from quarry.operators.legs import CANDIDATES, dense_leg, indexed_leg, indexed_phrase_leg, lexical_leg, phrase_leg
 
 #: Fixed values of the fusion.
 RRF_K = 60
@@ -49,22 +51,29 @@ class HashingEmbedder:
         self.dim = dim
 
     def query(self, text: str) -> list[float]:
-        out = [0.0] * self.dim
-        for t in query_tokens(text):
-            d = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
-            out[d % self.dim] += 1.0 if (d >> 16) % 2 == 0 else -1.0
-        norm = math.sqrt(sum(x * x for x in out))
-        return [x / norm for x in out] if norm else out
+        return _hashed_vector(tuple(query_tokens(text)), self.dim)
 
     def passages(self, column: Column) -> Column:
-        """The embedding of a text column as array<float>, JVM-side."""
-        terms = F.regexp_extract_all(F.lower(F.coalesce(column, F.lit(""))), F.lit(TOKEN), 0)
-        bucket = F.transform(F.filter(F.array_distinct(terms), lambda t: F.length(t) > 1), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long"))
-        zero = F.array_repeat(F.lit(0.0), self.dim)
-        signed = F.transform(bucket, lambda d: F.struct((d % self.dim).cast("int").alias("i"), F.when(F.shiftright(d, 16) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("s")))
-        summed = F.transform(zero, lambda _, i: F.aggregate(F.filter(signed, lambda e: e["i"] == i), F.lit(0.0), lambda a, e: a + e["s"]))
-        norm = F.sqrt(F.aggregate(summed, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(summed, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)).cast("float"))
+        """The embedding of a text column as array<float>; its words are folded as a query's are."""
+        dim = self.dim
+
+        def embed(words: pa.Array) -> pa.Array:
+            return pa.array([_hashed_vector(x, dim) for x in words.to_pylist()], pa.list_(pa.float32()))
+
+        return F.arrow_udf(embed, "array<float>")(query_term_column(column))
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _bucket(term: str) -> int:
+    return int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
+
+
+def _hashed_vector(words: Sequence[str], dim: int) -> list[float]:
+    out = [0.0] * dim
+    for d in map(_bucket, words):
+        out[d % dim] += 1.0 if (d >> 16) % 2 == 0 else -1.0
+    norm = math.sqrt(sum(x * x for x in out))
+    return [x / norm for x in out] if norm else out
 
 
 def overlap_scorer(query: str) -> Callable[[DataFrame], DataFrame]:
@@ -79,9 +88,17 @@ def overlap_scorer(query: str) -> Callable[[DataFrame], DataFrame]:
     return score
 
 
+def judged_text(chunks: DataFrame) -> Column:
+    """What a re-ranker judges: the heading, a line feed, the text; just the text where there is no heading."""
+    if "heading" not in chunks.columns:
+        return F.col("text")
+    heading = F.coalesce(F.col("heading"), F.lit(""))
+    return F.when(heading == "", F.col("text")).otherwise(F.concat_ws("\n", heading, "text"))
+
+
 def rerank(fused: DataFrame, chunks: DataFrame, scorer: Callable[[DataFrame], DataFrame], limit: int, k: int = RRF_K) -> DataFrame:
     """Fuse the retrieval order of the first max(40, limit) hits with a scorer's order; the fused score replaces the old one."""
-    pool = fused.where(F.col("place") < max(RERANK_POOL, limit)).join(chunks.select("chunk_id", "text"), "chunk_id")
+    pool = fused.where(F.col("place") < max(RERANK_POOL, limit)).join(chunks.select("chunk_id", judged_text(chunks).alias("text")), "chunk_id")
     scored = scorer(pool)
     order = Window.orderBy(F.col("rerank_score").desc(), "place")
     again = scored.withColumn("rank", F.row_number().over(order) - 1)
@@ -105,7 +122,7 @@ def search(
     ``chunks``: source, chunk_id, path, text[, heading]; ``vectors``: source, chunk_id, embedding.  No limit or 0 means 8,
     no sources means all.  A query without a searchable token finds nothing (and no leg runs).  Identifier phrases
     add their own leg, and switch a scorer off: exact names beat judged similarity.  With ``stored`` (postings, term statistics,
-    corpus statistics) the lexical leg reads those and tokenises nothing.
+    corpus statistics) the lexical and the phrase leg read those and tokenise nothing.
     """
     limit = limit or DEFAULT_LIMIT
     words, phrases = query_tokens(query), query_phrases(query)
@@ -114,7 +131,7 @@ def search(
         return chunks.limit(0).select(F.lit(0).cast("long").alias("rank"), "chunk_id", "source", "path", "text", F.lit(0.0).alias("score"))
     legs: dict[str, DataFrame] = {}
     if phrases:
-        legs["phrase"] = phrase_leg(chunks, phrases, sources, candidates, heading)
+        legs["phrase"] = indexed_phrase_leg(stored[0], stored[2], phrases, sources, candidates) if stored else phrase_leg(chunks, phrases, sources, candidates, heading)
     if words:
         legs["lexical"] = indexed_leg(*stored, words, sources, candidates) if stored else lexical_leg(chunks, words, sources, candidates, heading)
     if vectors is not None and query_vector is not None:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quarry.operators import sync
 
 POINTER = "_CURRENT"
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 #: Columns of the stored tables.  ``postings`` is sorted by term within its files.
 TABLES = {
@@ -28,7 +28,7 @@ TABLES = {
     "page_start int, page_end int, page_labels array<string>, extraction_methods array<string>, warnings array<string>, fingerprint string",
     "chunks": "source string, path string, file_id long, chunk_id long, ord int, heading_path string, text string, page_start int, page_end int, "
     "provenance array<struct<page:int,label:string>>, content_kinds array<string>",
-    "postings": "source string, path string, chunk_id long, dl long, term string, tf_text long, tf_heading long",
+    "postings": "source string, path string, chunk_id long, dl long, term string, tf_text long, tf_heading long, pos_text array<int>, pos_heading array<int>",
     "lengths": "source string, path string, chunk_id long, dl long",
     "vectors": "source string, path string, chunk_id long, embedding array<float>",
     "term_stats": "term string, df long",
@@ -106,7 +106,7 @@ def validate(tables: dict[str, DataFrame]) -> list[str]:
 
 def _write(rows: DataFrame, name: str, folder: Path) -> None:
     if name == "postings":
-        rows = rows.repartition("source", "term").sortWithinPartitions("source", "term", "chunk_id")
+        rows = rows.repartitionByRange("source", "term", "chunk_id").sortWithinPartitions("source", "term", "chunk_id")  # a frequent term spans ranges
     elif name == "chunks":
         rows = rows.sortWithinPartitions("source", "file_id", "ord")
     writer = rows.write.mode("overwrite")
