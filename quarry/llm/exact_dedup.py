@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import attach, fresh_path, mark, prepare, release, stage, unused
+from quarry.llm.common import attach, fresh_path, prepare, stage, unused
 
 #: Bits of a key that directory splits may use; the directory never has more slots than this allows.
 MAX_DEPTH = 16
@@ -136,6 +136,51 @@ def _bucket(key: Column, slots: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in slots]), (F.shiftrightunsigned(_prefix(key), shift) + 1).cast("int"))
 
 
+def _slots(sizes: DataFrame, page_bytes: int) -> list[int]:
+    """The directory for texts of (key, size), of which equal ones count once."""
+    found = sizes.groupBy("key").agg(F.max("size").alias("n")).groupBy(_prefix(F.col("key")).alias("p")).agg(F.sum("n").alias("bytes"))
+    return directory({r["p"]: r["bytes"] for r in found.collect()}, MAX_DEPTH, page_bytes)[1]  # at most 2**MAX_DEPTH rows
+
+
+def _winners(in_key_order: bool) -> Callable:
+    """Of rows (key, body, place, ...) with equal bodies the one with the largest place, nulls last, else the first.
+
+    In key order all rows of a key are together, so what comes out is final; otherwise it is a task's pre-aggregation, which
+    forgets a text when `REMEMBERED` bytes of others have been read since it came last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: OrderedDict[bytes, tuple] = OrderedDict()
+        held, schema, key = 0, None, None
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            schema, gone = batch.schema, []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if in_key_order and row[0] != key:
+                    gone += seen.values()
+                    seen.clear()
+                    key = row[0]
+                before = seen.get(row[1])
+                if before is None:
+                    held += len(row[1])
+                if before is None or row[2] is not None and (before[2] is None or row[2] > before[2]):
+                    seen[row[1]] = row
+                if not in_key_order:
+                    seen.move_to_end(row[1])
+            while not in_key_order and held > REMEMBERED and len(seen) > 1:
+                gone.append(seen.popitem(last=False)[1])
+                held -= len(gone[-1][1])
+            if gone:
+                yield out(gone)
+        while seen:
+            yield out([seen.popitem(last=False)[1] for _ in range(min(512, len(seen)))])
+
+    return run
+
+
 def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("key"), F.encode(text, "UTF-8").alias("text"), F.col(id_col).cast("long").alias("id"))
@@ -150,8 +195,7 @@ def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     spark = prepare(docs.sparkSession)
     entries = stage(_keyed(docs, text_col, id_col).withColumn("size", F.length("text")), "exact-entries")
-    found = entries.groupBy("key").agg(F.max("size").alias("n")).groupBy(_prefix(F.col("key")).alias("p")).agg(F.sum("n").alias("bytes"))
-    _, slots = directory({r["p"]: r["bytes"] for r in found.collect()}, MAX_DEPTH, page_bytes)  # at most 2**MAX_DEPTH rows
+    slots = _slots(entries.select("key", "size"), page_bytes)
     folder = fresh_path(spark, "exact-index")
     dealt = entries.withColumn("bucket", _bucket(F.col("key"), slots)).repartition(len(set(slots)), "bucket").sortWithinPartitions("bucket", "key")
     answered = dealt.select("key", "text", "copies", "last_id", "entry").mapInArrow(_chain, "kind string, entry long, key long, chain int, text_sha256 string, keep_id long, group_size long, text binary")
@@ -208,24 +252,25 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return attach(rows, found, [doc, sha], weight).withColumnRenamed(sha, "text_sha256").select(*own.columns, *made)
 
 
-def drop_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row of each group of equal texts, with the columns of ``docs``.
+def drop_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", page_bytes: int = PAGE_BYTES) -> DataFrame:
+    """One row of each group of equal texts, the one with the largest id, with the columns of ``docs``.
 
-    Of rows that repeat id and text both one stays.  A null text counts as the empty one, a null id stays only where its
-    text has no id at all, an empty table gives an empty table.  Extra columns, whatever they are called, pass through.
+    Rows go to the owners of their buckets whole, after copies within a task have met, and the owners compare bytes; so no
+    table is joined and nothing but the shuffle is stored.  Of rows that repeat id and text both one stays.  A null text
+    counts as the empty one, a null id stays only where its text has no id at all, an empty table gives an empty table.
+    Extra columns, whatever they are called, pass through.
     """
-    begin = mark()
-    doc, sha, n, own = (unused(x, docs.columns) for x in ("_id", "_of", "_n", "_sha"))
-    bare = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    slim = verdicts(bare).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias(n))
-    staged = stage(slim.select(F.col("doc_id").alias(doc), F.col("text_sha256").alias(sha), n), "exact-kept")
-    release(docs.sparkSession, begin, staged)
+    prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn(own, F.sha2(F.encode(text, "UTF-8"), 256))
-    found = rows.join(staged, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(own) == F.col(sha)))
-    once = found.where(F.col(n) == 1).select(*docs.columns)
-    again = found.where(F.col(n) > 1).dropDuplicates([id_col, own]).select(*docs.columns)
-    return once.unionByName(again)
+    slots = _slots(docs.select(F.xxhash64(text).alias("key"), F.octet_length(text).alias("size")), page_bytes)
+    others = [c for c in docs.columns if c != text_col]
+    rest = [F.col(c).alias(f"c{i}") for i, c in enumerate(others)]
+    rows = docs.select(F.xxhash64(text).alias("key"), F.encode(text, "UTF-8").alias("body"), F.col(id_col).cast("long").alias("place"), F.col(text_col).isNull().alias("null_text"), *rest)
+    first = rows.mapInArrow(_winners(False), rows.schema).withColumn("bucket", _bucket(F.col("key"), slots))
+    dealt = first.repartition(len(set(slots)), "bucket").sortWithinPartitions("bucket", "key").drop("bucket")
+    kept = dealt.mapInArrow(_winners(True), rows.schema)
+    back = {text_col: F.when(~F.col("null_text"), F.decode("body", "UTF-8")), **{c: F.col(f"c{i}") for i, c in enumerate(others)}}
+    return kept.select(*[back[c].alias(c) for c in docs.columns])
 
 
 def op8_exact_dedup(docs: DataFrame) -> DataFrame:
