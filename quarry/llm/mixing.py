@@ -15,67 +15,76 @@ source, so a source's rounding error stays within about one document.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import MAX_HOT, attach, running_sum, stage
+from quarry.llm.common import attach, mark, release, running_sum, stage, unused
 
 #: What a word is, for sizes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Relative error of a source's expected tokens at which its iterations end.
 TOLERANCE = 1e-7
-MAX_ROUNDS = 12
-#: Newton steps between two materialisations of the multipliers.
-STEPS = 4
+MAX_ROUNDS = 48
 #: Corrections of a source's rounding error by one copy of its best-fitting document.
 POLISH = 2
 #: Fractions of copies are counted in units of 2**-32, so that sums are exact in any order.
 UNIT = 1 << 32
 
 
+def _key(source: str) -> Column:
+    """A source's name as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-"))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """_source, source_size, n_docs, target from (_source, size).
+    """_key, source_size, n_docs, target from (_source, size).
 
     Sources by code point, null last, weigh ``weights`` in turn and share all tokens; a target stops at ``cap`` times
     its source's size and the excess is reshared by weight until none is above.  That fixed point is found in one
     pass: in the order of cap * size / weight, the capped sources are those whose ratio is below the level that the
-    sources from there on would share.
+    sources from there on would share.  Both orders go by range partitions, so that millions of sources don't meet
+    in one task.
     """
-    by_source = stage(sizes.groupBy("_source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n_docs")), "mix-sources")
-    rank = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1  # one row for each source
-    weighed = by_source.withColumn("w", F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int")).cast("long"))
-    total = F.sum("source_size").over(Window.partitionBy())
-    order = Window.orderBy((cap * F.col("source_size") / F.col("w")), F.col("_source").asc_nulls_last())
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    level = weighed.select("*", (total - F.coalesce(cap * F.sum("source_size").over(before), F.lit(0))).alias("left"), F.sum("w").over(after).alias("w_left"))
+    by_source = sizes.groupBy("_source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n_docs")).withColumn("one", F.lit(1).cast("long"))
+    placed = running_sum(by_source, [], [F.col("_source").asc_nulls_last()], {"rank": "one"}, "mix-sources")
+    weighed = placed.withColumn("w", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")).cast("long"))
+    weighed = weighed.select(_key("_source").alias("_key"), "source_size", "n_docs", "w", (cap * F.col("source_size") / F.col("w")).alias("ratio"))
+    weighed = running_sum(weighed, [], [F.col("ratio"), F.col("_key")], {"size_before": "source_size", "w_before": "w"}, "mix-weights")
+    weighed = stage(weighed, "mix-weighed")
+    total = F.broadcast(weighed.agg(F.sum("source_size").alias("size_all"), F.sum("w").alias("w_all")))  # a single row
+    level = weighed.crossJoin(total).withColumns({"left": F.col("size_all") - cap * F.col("size_before"), "w_left": F.col("w_all") - F.col("w_before")})
     level = level.withColumn("capped", cap * F.col("source_size") * F.col("w_left") <= F.col("w") * F.col("left"))
     # the capped sources are a prefix of this order; the first other one sets the level for all that follow
-    first = F.min_by(F.struct("left", "w_left"), F.struct((cap * F.col("source_size") / F.col("w")), F.col("_source").isNull(), F.col("_source"))).over(Window.partitionBy("capped"))
-    level = level.withColumn("at", first)
+    first = F.broadcast(level.where("NOT capped").agg(F.min_by(F.struct("left", "w_left"), F.struct("ratio", "_key")).alias("at")))
     share = F.col("w") * F.col("at.left").cast("double") / F.col("at.w_left").cast("double")
-    return level.select("_source", "source_size", "n_docs", F.when(F.col("capped"), (cap * F.col("source_size")).cast("double")).otherwise(share).alias("target"))
+    target = F.when(F.col("capped"), (cap * F.col("source_size")).cast("double")).otherwise(share)
+    return level.crossJoin(first).select("_key", "source_size", "n_docs", target.alias("target"))
 
 
 def tilts(histogram: DataFrame, sources: DataFrame, cap: int = 3) -> DataFrame:
-    """_source, lam, mean from the histogram (_source, size, n) and the targets: the dual's solution."""
-    state = sources.select(
-        "_source", "source_size", "target",
-        (F.col("source_size") / F.col("n_docs")).alias("mean"),
-        F.lit(0.0).alias("lam"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"),
+    """_key, lam, mean, source_size, n_docs, target from the histogram (_key, size, n) and the targets: the dual's solution.
+
+    Each round is one Newton step of the sources that are still open; its plan is the same every time, and the
+    multipliers are staged between two rounds.  A source that is not done after `MAX_ROUNDS` keeps its last multiplier.
+    """
+    keep = ["_key", "source_size", "n_docs", "target", "mean"]
+    start = sources.select(
+        "_key", "source_size", "n_docs", "target", (F.col("source_size") / F.col("n_docs")).alias("mean"),
+        F.when(F.col("target") >= cap * F.col("source_size"), F.lit(1e9)).otherwise(F.lit(0.0)).alias("lam"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high"),
         # nothing to solve for an empty source or a target at the cap
-        (F.col("source_size") == 0).alias("done"),
-        (F.col("target") >= cap * F.col("source_size")).alias("full"),
+        ((F.col("source_size") == 0) | (F.col("target") >= cap * F.col("source_size"))).alias("done"),
     )
-    state = state.withColumn("lam", F.when(F.col("full"), F.lit(1e9)).otherwise(F.col("lam"))).withColumn("done", F.col("done") | F.col("full"))
-    state = stage(state, "mix-lam")
+    state = stage(start, "mix-lam")
+    solved = [state.where("done")]
     for _ in range(MAX_ROUNDS):
-        if state.where(~F.col("done")).isEmpty():
+        if state.where("NOT done").isEmpty():
             break
-        for _ in range(STEPS):
-            state = _newton(histogram, state, cap)
-        state = stage(state, "mix-lam")
-    return state.select("_source", F.round("lam", 9).alias("lam"), "mean")  # the last digits depend on the order of sums
+        state = stage(_newton(histogram, state.where("NOT done"), cap), "mix-lam")
+        solved.append(state.where("done"))
+    every = reduce(DataFrame.unionByName, [*solved, state.where("NOT done")])
+    return every.select(*keep, F.round("lam", 9).alias("lam"))  # the last digits depend on the order of sums
 
 
 def _rate(cap: int) -> Column:
@@ -85,27 +94,21 @@ def _rate(cap: int) -> Column:
 
 
 def _newton(histogram: DataFrame, state: DataFrame, cap: int) -> DataFrame:
-    """One step for every source that isn't done: partial sums by source, so a hot source costs no more than others."""
-    live = histogram.join(state.where(~F.col("done")).select("_source", "lam", "mean"), histogram["_source"].eqNullSafe(state["_source"])).select(histogram["_source"], "size", "n", "lam", "mean")
+    """One step for every source in ``state``: partial sums by source, so a hot source costs no more than others."""
+    same = [c for c in state.columns if c != "_key"]
     rate = _rate(cap)
     tokens = F.col("n") * F.col("size") * rate
     slope = F.when(rate < cap, tokens * F.col("size") / F.col("mean")).otherwise(F.lit(0.0))
-    sums = live.groupBy(F.col("_source").alias("_s")).agg(F.sum(tokens).alias("tokens"), F.sum(slope).alias("slope"))
-    joined = state.join(sums, state["_source"].eqNullSafe(sums["_s"]), "left")
+    sums = histogram.join(state, "_key").groupBy("_key", *same).agg(F.sum(tokens).alias("tokens"), F.sum(slope).alias("slope"))
     over = F.col("tokens") > F.col("target")
     low = F.when(over, F.col("low")).otherwise(F.col("lam"))
     high = F.when(over, F.col("lam")).otherwise(F.col("high"))
     near = F.abs(F.col("tokens") - F.col("target")) <= TOLERANCE * F.col("target")
     step = F.col("lam") - (F.col("tokens") - F.col("target")) / F.col("slope")
     inside = (F.col("slope") > 0) & (step > low) & (step < high)
-    stay = F.col("done") | F.col("tokens").isNull()
-    return joined.select(
-        "_source", "source_size", "target", "mean",
-        F.when(stay | near, F.col("lam")).when(inside, step).otherwise((low + high) / 2).alias("lam"),
-        F.when(stay, F.col("low")).otherwise(low).alias("low"),
-        F.when(stay, F.col("high")).otherwise(high).alias("high"),
-        (stay | near).alias("done"), "full",
-    )
+    lam = F.when(near, F.col("lam")).when(inside, step).otherwise((low + high) / 2)
+    made = {"lam": lam, "low": low, "high": high, "done": near}
+    return sums.select("_key", *[made[c].alias(c) if c in made else F.col(c) for c in same])
 
 
 def entropy_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -116,13 +119,12 @@ def entropy_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int =
     own, the last.  Rounding goes by size, then by a hash of the id, then by the id: ties and repeated rows share a
     place in that order and reruns agree.  An empty table gives an empty table.
     """
+    begin = mark()
     sized = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("_source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
     targets = stage(source_targets(sized, weights, cap), "mix-targets")
-    histogram = stage(sized.groupBy("_source", "size").agg(F.count("*").alias("n")), "mix-histogram")
-    solved = targets.join(tilts(histogram, targets, cap).withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    key = F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("-"))
-    solved = stage(solved.withColumn("_key", key).withColumnRenamed("_source", "_s"), "mix-solved")
-    rated = attach(sized.withColumn("_key", key), solved, ["_key"], "n_docs").withColumn("rate", _rate(cap))
+    histogram = stage(sized.groupBy(_key("_source").alias("_key"), "size").agg(F.count("*").alias("n")), "mix-histogram")
+    solved = stage(tilts(histogram, targets, cap), "mix-solved")
+    rated = attach(sized.withColumn("_key", _key("_source")), solved, ["_key"], "n_docs").withColumn("rate", _rate(cap))
     rated = rated.select(
         "doc_id", F.col("_source").alias("source"), "size", "source_size", "target", "rate",
         F.floor("rate").cast("long").alias("whole"),
@@ -135,30 +137,38 @@ def entropy_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int =
     copies = F.least(F.col("whole") + extra.cast("long"), F.lit(cap))
     out = stage(summed.select("doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies")), "mix-copies")
     for _ in range(POLISH):
-        out = _polish(out, cap)
+        out = stage(_polish(out, cap), "mix-copies")
+    release(docs.sparkSession, begin, out)
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def _polish(rounded: DataFrame, cap: int) -> DataFrame:
     """Bring every source nearer to its target by one copy more or less of the document whose size fits best."""
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    rows = rounded.withColumn("_key", key)
+    rows = rounded.withColumn("_key", _key("source"))
     gaps = rows.groupBy("_key").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("_gap"), F.count("*").alias("_n"))
     near = attach(rows, stage(gaps, "mix-gaps"), ["_key"], "_n")
     fits = F.when(F.col("_gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("_gap"))
     place = F.struct(F.abs(F.abs("_gap") - F.col("size")), F.xxhash64("doc_id"), "doc_id")
-    best = stage(near.where(fits).groupBy("_key").agg(F.min_by(F.struct("doc_id", "size", F.signum("_gap").cast("long").alias("by")), place).alias("_best"), F.count("*").alias("_n")), "mix-best")
-    picked = F.broadcast(best.select(F.col("_best.doc_id").alias("_id"), F.col("_best.size").alias("_size"), F.col("_key").alias("_of"), F.col("_best.by").alias("_by"))) if best.count() <= MAX_HOT else best.select(F.col("_best.doc_id").alias("_id"), F.col("_best.size").alias("_size"), F.col("_key").alias("_of"), F.col("_best.by").alias("_by"))
-    joined = rows.join(picked, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")) & (F.col("size") == F.col("_size")), "left")
-    return joined.withColumn("copies", F.col("copies") + F.coalesce("_by", F.lit(0))).select(*rounded.columns)
+    best = near.where(fits).groupBy("_key").agg(F.min_by(F.struct("doc_id", "size", F.signum("_gap").cast("long").alias("by")), place).alias("_best"))
+    best = stage(best.select("_key", F.col("_best.doc_id").alias("doc_id"), F.col("_best.size").alias("size"), F.col("_best.by").alias("_by")).where("doc_id IS NOT NULL"), "mix-best")
+    # one row for each source at most, so whole documents decide: of rows that repeat id, source and size all change
+    return rows.join(best, ["_key", "doc_id", "size"], "left").withColumn("copies", F.greatest(F.lit(0), F.least(F.lit(cap), F.col("copies") + F.coalesce("_by", F.lit(0))))).select(*rounded.columns)
 
 
 def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with each row repeated as often as ``mixed`` takes it; rows that repeat an id share its copies of one row each."""
-    plan = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows"))
-    joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id")))
-    times = F.greatest(F.lit(1), F.round(F.col("_sum") / F.col("_rows"))).cast("int")
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    """``docs`` with each row repeated as often as ``mixed`` takes it; rows that repeat an id share its copies of one row each.
+
+    Rows with a null id are taken as often as the mix takes null ids.  Extra columns, whatever they are called, pass
+    through; an empty table gives an empty table.
+    """
+    begin = mark()
+    doc, total, rows, turn = (unused(x, docs.columns) for x in ("_id", "_sum", "_rows", "_turn"))
+    plan = mixed.where("copies > 0").groupBy(F.col("doc_id").alias(doc)).agg(F.sum("copies").alias(total), F.count("*").alias(rows))
+    plan = stage(plan, "mix-plan")
+    joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col(doc)))
+    times = F.greatest(F.lit(1), F.round(F.col(total) / F.col(rows))).cast("int")
+    release(docs.sparkSession, begin, plan)
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op1_entropy_mix(docs: DataFrame) -> DataFrame:
