@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.shipping import ship
+
 #: Characters of a passage (aim, most, least) and of a whole document that isn't worth indexing.
 TARGET, MOST, LEAST, STUB = 4000, 8000, 160, 40
 
@@ -314,5 +316,6 @@ def split_documents(files: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["source", "path", "ord", "heading_path", "text"])
 
+    ship(files.sparkSession)
     split = files.select("source", "path", "text").mapInArrow(run, "source string, path string, ord int, heading_path string, text string")
     return split.withColumn("chunk_id", F.xxhash64("source", "path", "ord")).select("source", "path", "chunk_id", "ord", "heading_path", "text")

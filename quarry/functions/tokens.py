@@ -7,6 +7,7 @@ must be adjacent).
 
 from __future__ import annotations
 
+import functools
 import re
 import sys
 import unicodedata
@@ -27,10 +28,20 @@ def _folded_letter(c: str) -> str:
     return unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c.lower()) if not unicodedata.category(x).startswith("M")))
 
 
-#: What folding makes of each character that it changes ("" for marks), letters first: ``translate`` drops what has no partner.
-_FOLDED = dict(sorted(((c, f) for c in map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]) if (f := _folded_letter(c)) != c), key=lambda x: x[1] == ""))
-_TABLE = str.maketrans(_FOLDED)
-_CHANGED, _PLAIN = "".join(_FOLDED), "".join(_FOLDED.values())
+@functools.cache
+def _changes() -> dict[str, str]:
+    """What folding makes of each character that it changes ("" for marks), letters first: ``translate`` drops what has no partner.
+
+    Made at the first use, so that Python workers, which import this module but fold nothing, don't pay for it.
+    """
+    every = map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)])
+    return dict(sorted(((c, f) for c in every if (f := _folded_letter(c)) != c), key=lambda x: x[1] == ""))
+
+
+@functools.cache
+def _table() -> dict[int, str]:
+    return str.maketrans(_changes())
+
 
 #: Korean syllables written as separate letters (19 initials, 21 vowels, 27 finals) and those that still lack a final.
 _INITIAL, _VOWEL, _FINAL = "\u1100-\u1112", "\u1161-\u1175", "\u11a8-\u11c2"
@@ -41,7 +52,7 @@ _PIECE = f"[{_INITIAL}][{_VOWEL}][{_FINAL}]?|[{_OPEN}][{_FINAL}]|[^{_INITIAL}{_O
 
 def fold(text: str) -> str:
     """Lower case without accents and other marks, Korean syllables whole (the sharp s stays): DuckDB's ``strip_accents(lower(text))``."""
-    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text.translate(_TABLE))
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text.translate(_table()))
 
 
 def _syllable(piece: Column) -> Column:
@@ -54,7 +65,7 @@ def _syllable(piece: Column) -> Column:
 
 def folded(column: Column) -> Column:
     """`fold` as a JVM expression: one table for all characters, and texts that spell Korean letters apart get them joined."""
-    plain = F.translate(column, _CHANGED, _PLAIN)
+    plain = F.translate(column, "".join(_changes()), "".join(_changes().values()))
     return F.when(column.rlike(_LETTERS), F.array_join(F.transform(F.regexp_extract_all(plain, F.lit(_PIECE), 0), _syllable), "")).otherwise(plain)
 
 

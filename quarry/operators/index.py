@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.tokens import tokens
+from quarry.shipping import ship
 
 
 def tokenized(chunks: DataFrame, heading: bool = False) -> DataFrame:
@@ -38,6 +39,7 @@ def postings(chunks: DataFrame, heading: bool = False) -> DataFrame:
     A chunk's terms are counted within its row, so nothing is shuffled.  Sorted by term within files when written, so that
     a query's ``term IN (...)`` prunes row groups.
     """
+    ship(chunks.sparkSession)
     counted = F.arrow_udf(_positions, "array<struct<term:string,pos_text:array<int>,pos_heading:array<int>>>")("t", "h")
     terms = tokenized(chunks, heading).select("source", "chunk_id", "dl", F.inline(counted))
     return terms.withColumns({"tf_text": F.size("pos_text").cast("long"), "tf_heading": F.size("pos_heading").cast("long")})

@@ -25,6 +25,7 @@ from quarry.functions.topics import paged_passages
 from quarry.operators import index as build
 from quarry.operators import materialize, snapshot, sync
 from quarry.operators.search import HashingEmbedder
+from quarry.shipping import ship
 from quarry.sources import acquire, registry
 
 PIPELINE_VERSION = 1
@@ -92,6 +93,7 @@ def identified(documents: DataFrame) -> DataFrame:
 
 def prepared(documents: DataFrame) -> DataFrame:
     """Identified documents split into passages; a manifest's heading path replaces the headings found in the text."""
+    ship(documents.sparkSession)
     cut = documents.withColumn("cut", F.arrow_udf(_split, f"struct<title:string,passages:array<{_PASSAGE}>>")("text", T.suffix(F.col("path")), "materialized", "page_start"))
     named = F.transform("cut.passages", lambda p: F.when(F.col("materialized") & (F.coalesce("heading_path", F.lit("")) != ""), p.withField("heading_path", F.col("heading_path"))).otherwise(p))
     return cut.withColumn("title", F.col("cut.title")).withColumn("passages", named).withColumn("file_id", F.xxhash64("source", "path")).drop("cut", "content", "text")
@@ -99,6 +101,7 @@ def prepared(documents: DataFrame) -> DataFrame:
 
 def index_rows(documents: DataFrame, now: datetime, embedder: HashingEmbedder) -> dict[str, DataFrame]:
     """All tables' rows of prepared documents."""
+    ship(documents.sparkSession)
     files = documents.withColumn("indexed_at", F.lit(now))
     exploded = documents.select("source", "path", "file_id", F.explode("passages").alias("p"), F.coalesce("content_kinds", F.array().cast("array<string>")).alias("content_kinds"))
     chunks = exploded.select("source", "path", "file_id", F.xxhash64("source", "path", "p.ord").alias("chunk_id"), "p.*", "content_kinds")

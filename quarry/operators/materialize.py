@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import Limits
 from quarry.functions import text as T
+from quarry.shipping import ship
 from quarry.sources import manifest as M
 from quarry.sources.acquire import Snapshot, contents
 from quarry.sources.rich import RichError, parse
@@ -95,7 +96,7 @@ def materialize(spark: SparkSession, snapshot: Snapshot, root: Path, limits: Lim
                     row = (path, "failed", 0, 0, 0, 0, 0, None, getattr(e, "code", "invalid"), str(e)[:500])
                 yield _batch([row], _RESULT_TYPES, RESULT)
 
-    read = contents(spark, Snapshot(source, snapshot.root, snapshot.revision, rich, 0), limits.rich_bytes)
+    read = contents(ship(spark), Snapshot(source, snapshot.root, snapshot.revision, rich, 0), limits.rich_bytes)
     # sorted here, as a range sort would run the parsers once more for its sample
     results = sorted((r.asDict() for r in read.select("path", "sha256", "content", "error").mapInArrow(run, RESULT).collect()), key=lambda r: r["path"]) if rich else []
     gone = [f for f in M.folders(root, source) if f.relative_to(root / source).as_posix() not in set(rich)]
@@ -175,7 +176,7 @@ def topic_documents(spark: SparkSession, root: Path, source: str) -> DataFrame:
 
     listed = [(str(f),) for f in M.folders(root, source)]
     spread = max(1, min(len(listed), 4 * spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame(listed, "folder string").repartition(spread, "folder").mapInArrow(run, DOCUMENT)
+    return ship(spark).createDataFrame(listed, "folder string").repartition(spread, "folder").mapInArrow(run, DOCUMENT)
 
 
 def native_documents(files: DataFrame) -> DataFrame:

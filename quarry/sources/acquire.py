@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.shipping import ship
 from quarry.sources.registry import Source
 
 CONTENT = "source string, path string, bytes long, sha256 string, content binary, error string"
@@ -156,7 +157,7 @@ def contents(spark: SparkSession, snapshot: Snapshot, most_bytes: int = 100 * 10
     A file over ``most_bytes``, or one that can't be read, has an error and no content.
     """
     rows = [(snapshot.source, str(snapshot.root), p, most_bytes) for p in snapshot.paths]
-    listed = spark.createDataFrame(rows, "source string, root string, path string, most long")
+    listed = ship(spark).createDataFrame(rows, "source string, root string, path string, most long")
     spread = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
     return listed.repartition(spread, "path").mapInArrow(_read, CONTENT)
 
