@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.shipping import ship
+
 #: At most this many keys are ever called hot, which bounds what `attach` broadcasts.
 MAX_HOT = 1000
 #: A staged table of fewer bytes isn't searched for frequent keys.
@@ -23,20 +23,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches handed to Python and ship this package to the executors once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    sc = spark.sparkContext
-    if getattr(sc, "_quarry_shipped", None) is None:
-        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        root = os.path.dirname(package)
-        path = os.path.join(tempfile.mkdtemp(prefix="quarry-"), "quarry-src.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-            for folder, _, names in os.walk(package):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, root))
-        sc.addPyFile(path)
-        sc._quarry_shipped = path
-    return spark
+    return ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
