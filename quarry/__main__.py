@@ -1,4 +1,4 @@
-"""Command line: sync, index, materialize, inspect, search, serve.  Exit code 1: something failed; 2: nothing could be done."""
+"""Command line: sync, index, materialize, inspect, search, serve, warmup.  Exit code 1: something failed; 2: nothing could be done."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from wsgiref.simple_server import make_server
 from pyspark.sql import SparkSession
 
 from quarry import api, config
-from quarry.operators import lifecycle, materialize, snapshot
+from quarry.operators import lifecycle, materialize, providers, snapshot
 from quarry.sources import acquire, registry
 
 SNIPPET = 160
@@ -41,6 +41,7 @@ def arguments() -> argparse.ArgumentParser:
     c = sub.add_parser("serve", help="answer the read calls over HTTP")
     c.add_argument("--host", default="127.0.0.1")
     c.add_argument("--port", type=int, default=8765)
+    sub.add_parser("warmup", help="load the configured models and use each once")
     return p
 
 
@@ -88,6 +89,9 @@ def run(argv: list[str] | None = None) -> int:
         settings = config.from_environment()
         if a.command == "inspect":
             return _inspect(settings, a)
+        if a.command == "warmup":
+            print(json.dumps(providers.warm_up(settings), sort_keys=True))
+            return 0
         spark = SparkSession.builder.appName("quarry").getOrCreate()
         if a.command in ("sync", "index"):
             tell = (lambda _: None) if a.quiet else (lambda line: print(line, file=sys.stderr))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.access import refuse
 from quarry.config import Settings
-from quarry.operators import read, search, snapshot
+from quarry.operators import providers, read, search, snapshot
 
 
 class Library:
@@ -51,14 +51,22 @@ class Library:
         counted = read.list_sources(i["sources"].withColumnRenamed("name", "source"), i["files"], i["chunks"])
         return counted.agg(F.count("*").alias("sources"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
 
-    def search_docs(self, query: str, source: str, limit: int = 8) -> DataFrame:
-        """Hits of one source with their provenance, best first."""
-        i = self.index
+    def search_docs(self, query: str, source: str, limit: int | None = None) -> DataFrame:
+        """Hits of one source with their provenance, best first; searched and re-ranked as the settings say."""
+        i, s = self.index, self.settings
         self._known(i, source)
-        embedder = search.HashingEmbedder(i.meta.get("dim", self.settings.embedding_dim))
+        embedder = providers.embedder(s)
+        if embedder.dim != i.meta.get("dim", embedder.dim):
+            raise ValueError("the index holds vectors of another width than the configured embedder's: a rebuild is needed")
+        scorer = providers.scorer(s)
+        shape = {
+            "scorer": scorer(query) if scorer else None, "candidates": s.candidates, "k": s.rrf_k, "pool_size": s.rerank_pool,
+            "weights": {"phrase": s.w_phrase, "lexical": s.w_lexical, "dense": s.w_dense}, "rerank_weights": {"retrieval": s.w_retrieval, "rerank": s.w_rerank},
+        }
         chunks = i["chunks"].withColumnRenamed("heading_path", "heading")
         hits = search.search(
-            chunks, i["vectors"], query, [source], read.clamp("limit", limit), embedder.query(query), heading=True, stored=(i["postings"], i["term_stats"], i["corpus_stats"])
+            chunks, i["vectors"], query, [source], read.clamp("limit", s.default_limit if limit is None else limit), embedder.query(query), heading=True,
+            stored=(i["postings"], i["term_stats"], i["corpus_stats"]), **shape
         )
         provenance = chunks.where(F.col("source") == source).select("chunk_id", F.col("heading").alias("heading_path"), "page_start", "page_end", "content_kinds")
         files = i["files"].where(F.col("source") == source).select("path", "title", "origin_path", "origin_media_type", "section_id", "page_labels", "extraction_methods")
@@ -109,7 +117,7 @@ def application(library: Library) -> Callable[[dict[str, Any], Callable[..., Any
         if path == "/sources":
             return 200, {"sources": _rows(library.list_sources()), "totals": _rows(library.totals())[0]}
         if path == "/search":
-            hits = _rows(library.search_docs(q["query"], q["source"], int(q.get("limit", 8))))
+            hits = _rows(library.search_docs(q["query"], q["source"], int(q["limit"]) if "limit" in q else None))
             return 200, {"hits": hits, "total": len(hits)}
         if path == "/chunk":
             return 200, {"passages": _rows(library.fetch_chunk(q["source"], int(q["chunk_id"]), int(q.get("context", 1))))}

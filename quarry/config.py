@@ -32,7 +32,22 @@ class Settings:
     auth_token: str = ""
     allowed_origins: tuple[str, ...] = ()
     allowed_hosts: tuple[str, ...] = ()
+    #: Providers as ``module:function`` (`operators.providers`); none: hashed words, and no re-ranking (or ``overlap``).
+    embedder: str = ""
+    reranker: str = ""
+    query_instruction: str = ""
+    embed_batch: int = 64
     embedding_dim: int = 64
+    #: How hits are found and fused (default values fixed).
+    candidates: int = 50
+    rerank_pool: int = 40
+    default_limit: int = 8
+    rrf_k: int = 60
+    w_phrase: float = 3.0
+    w_lexical: float = 1.0
+    w_dense: float = 1.0
+    w_retrieval: float = 1.0
+    w_rerank: float = 1.5
     limits: Limits = Limits()
 
     @property
@@ -56,6 +71,8 @@ def _overridden(cls: type, env: dict[str, str]) -> dict[str, object]:
             continue
         if isinstance(f.default, int):
             found[f.name] = int(raw)
+        elif isinstance(f.default, float):
+            found[f.name] = float(raw)
         elif isinstance(f.default, tuple):
             found[f.name] = tuple(x.strip() for x in raw.split(",") if x.strip())
         else:

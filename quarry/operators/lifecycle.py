@@ -23,8 +23,7 @@ from quarry.functions import structure
 from quarry.functions import text as T
 from quarry.functions.topics import paged_passages
 from quarry.operators import index as build
-from quarry.operators import materialize, snapshot, sync
-from quarry.operators.search import HashingEmbedder
+from quarry.operators import materialize, providers, snapshot, sync
 from quarry.shipping import ship
 from quarry.sources import acquire, registry
 
@@ -56,7 +55,7 @@ class SyncResult:
 
 def pipeline_fingerprint(settings: Settings) -> str:
     """Changes whenever the same files might give other rows, which makes a rebuild necessary."""
-    parts = [PIPELINE_VERSION, snapshot.SCHEMA_VERSION, "hashing", settings.embedding_dim, structure.TARGET, structure.MOST, structure.LEAST, structure.STUB, *T.TEXT_SUFFIXES, *T.RICH_SUFFIXES]
+    parts = [PIPELINE_VERSION, snapshot.SCHEMA_VERSION, settings.embedder or "hashing", settings.embedding_dim, structure.TARGET, structure.MOST, structure.LEAST, structure.STUB, *T.TEXT_SUFFIXES, *T.RICH_SUFFIXES]
     return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
 
 
@@ -99,7 +98,7 @@ def prepared(documents: DataFrame) -> DataFrame:
     return cut.withColumn("title", F.col("cut.title")).withColumn("passages", named).withColumn("file_id", F.xxhash64("source", "path")).drop("cut", "content", "text")
 
 
-def index_rows(documents: DataFrame, now: datetime, embedder: HashingEmbedder) -> dict[str, DataFrame]:
+def index_rows(documents: DataFrame, now: datetime, embedder: providers.Embedder) -> dict[str, DataFrame]:
     """All tables' rows of prepared documents."""
     ship(documents.sparkSession)
     files = documents.withColumn("indexed_at", F.lit(now))
@@ -271,10 +270,11 @@ def _run(run: _Run, wanted: dict[str, registry.Source], plan: list[tuple[str, st
     if staged is not None:  # split once; every table is made from the staged passages
         prepared(staged).write.parquet(str(run.work / "prepared"))
         staged = spark.read.parquet(str(run.work / "prepared"))
-    tables = next_tables(old, index_rows(staged, now, HashingEmbedder(run.settings.embedding_dim)) if staged is not None else None, _union(gone))
+    embedder = providers.embedder(run.settings)
+    tables = next_tables(old, index_rows(staged, now, embedder) if staged is not None else None, _union(gone))
     fields = [f.name for f in spark.createDataFrame([], snapshot.TABLES["sources"]).schema]
     tables["sources"] = spark.createDataFrame([tuple(rows[n].get(f) for f in fields) for n in sorted(rows)], snapshot.TABLES["sources"])
-    published = snapshot.publish(spark, run.settings.index, tables, {"fingerprint": stamp, "dim": run.settings.embedding_dim})
+    published = snapshot.publish(spark, run.settings.index, tables, {"fingerprint": stamp, "dim": embedder.dim})
     run.progress("100%")
     return SyncResult(results, published.version)
 

@@ -8,11 +8,12 @@ import math
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.tokens import TOKEN, query_phrases, query_term_column, query_tokens
 from quarry.operators.legs import CANDIDATES, dense_leg, indexed_leg, indexed_phrase_leg, lexical_leg, phrase_leg
+from quarry.shipping import ship
 
 #: Fixed values of the fusion.
 RRF_K = 60
@@ -60,6 +61,8 @@ class HashingEmbedder:
         def embed(words: pa.Array) -> pa.Array:
             return pa.array([_hashed_vector(x, dim) for x in words.to_pylist()], pa.list_(pa.float32()))
 
+        if (spark := SparkSession.getActiveSession()) is not None:  # a column doesn't know its session
+            ship(spark)
         return F.arrow_udf(embed, "array<float>")(query_term_column(column))
 
 
@@ -96,13 +99,15 @@ def judged_text(chunks: DataFrame) -> Column:
     return F.when(heading == "", F.col("text")).otherwise(F.concat_ws("\n", heading, "text"))
 
 
-def rerank(fused: DataFrame, chunks: DataFrame, scorer: Callable[[DataFrame], DataFrame], limit: int, k: int = RRF_K) -> DataFrame:
-    """Fuse the retrieval order of the first max(40, limit) hits with a scorer's order; the fused score replaces the old one."""
-    pool = fused.where(F.col("place") < max(RERANK_POOL, limit)).join(chunks.select("chunk_id", judged_text(chunks).alias("text")), "chunk_id")
+def rerank(
+    fused: DataFrame, chunks: DataFrame, scorer: Callable[[DataFrame], DataFrame], limit: int, k: int = RRF_K, pool_size: int = RERANK_POOL, weights: dict[str, float] = RERANK_WEIGHTS
+) -> DataFrame:
+    """Fuse the retrieval order of the first max(``pool_size``, limit) hits with a scorer's order; the fused score replaces the old one."""
+    pool = fused.where(F.col("place") < max(pool_size, limit)).join(chunks.select("chunk_id", judged_text(chunks).alias("text")), "chunk_id")
     scored = scorer(pool)
     order = Window.orderBy(F.col("rerank_score").desc(), "place")
     again = scored.withColumn("rank", F.row_number().over(order) - 1)
-    return fuse({"retrieval": scored.select("chunk_id", F.col("place").alias("rank")), "rerank": again.select("chunk_id", "rank")}, RERANK_WEIGHTS, k)
+    return fuse({"retrieval": scored.select("chunk_id", F.col("place").alias("rank")), "rerank": again.select("chunk_id", "rank")}, weights, k)
 
 
 def search(
@@ -116,6 +121,10 @@ def search(
     candidates: int = CANDIDATES,
     heading: bool = False,
     stored: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    weights: dict[str, float] = WEIGHTS,
+    k: int = RRF_K,
+    pool_size: int = RERANK_POOL,
+    rerank_weights: dict[str, float] = RERANK_WEIGHTS,
 ) -> DataFrame:
     """Ranked hits of one query: rank, chunk_id, source, path, text, score.
 
@@ -136,9 +145,9 @@ def search(
         legs["lexical"] = indexed_leg(*stored, words, sources, candidates) if stored else lexical_leg(chunks, words, sources, candidates, heading)
     if vectors is not None and query_vector is not None:
         legs["dense"] = dense_leg(vectors, query_vector, sources, candidates)
-    fused = fuse(legs, WEIGHTS)
+    fused = fuse(legs, weights, k)
     if scorer is not None and not phrases:
-        fused = rerank(fused, chunks, scorer, limit)
+        fused = rerank(fused, chunks, scorer, limit, k, pool_size, rerank_weights)
     top = F.broadcast(fused.where(F.col("place") < limit))  # at most ``limit`` rows: hydrate late
     hits = chunks.select("chunk_id", "source", "path", "text").join(top, "chunk_id")
     return hits.withColumn("score", F.round("score", SCORE_DIGITS)).withColumn("rank", F.col("place")).select(*shape)

@@ -15,8 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from quarry.config import Settings
 from quarry.functions import text as T
-from quarry.operators import lifecycle, materialize, snapshot, sync
-from quarry.operators.search import HashingEmbedder
+from quarry.operators import lifecycle, materialize, providers, snapshot, sync
 
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
@@ -47,10 +46,11 @@ def apply_batch(spark: SparkSession, settings: Settings, files: DataFrame, sourc
             staged = spark.read.parquet(str(work / "prepared"))
             if staged.isEmpty():
                 return old
-            tables = lifecycle.next_tables(old, lifecycle.index_rows(staged, now, HashingEmbedder(settings.embedding_dim)), staged.select("source", "path"))
+            embedder = providers.embedder(settings)
+            tables = lifecycle.next_tables(old, lifecycle.index_rows(staged, now, embedder), staged.select("source", "path"))
             row = spark.createDataFrame([(source, "local", "stream", "ready", "ready", now, now)], "name string, type string, origin string, sync_status string, index_status string, last_attempt_at timestamp, last_success_at timestamp")
             tables["sources"] = old["sources"].where(F.col("name") != source).unionByName(row, allowMissingColumns=True)
-            return snapshot.publish(spark, settings.index, tables, {"fingerprint": lifecycle.pipeline_fingerprint(settings), "dim": settings.embedding_dim})
+            return snapshot.publish(spark, settings.index, tables, {"fingerprint": lifecycle.pipeline_fingerprint(settings), "dim": embedder.dim})
         finally:
             shutil.rmtree(work, ignore_errors=True)
 
