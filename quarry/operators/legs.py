@@ -19,6 +19,8 @@ from quarry.operators.index import tokenized
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TEXT_WEIGHT, HEADING_WEIGHT = 1.0, 0.6
 CANDIDATES = 50
+#: Terms of a table of queries that are broadcast at most (some 50 MB).
+MOST_BROADCAST = 1 << 20
 
 
 def _scoped(df: DataFrame, sources: Sequence[str] | None) -> DataFrame:
@@ -138,19 +140,24 @@ def dense_leg(vectors: DataFrame, query: Sequence[float], sources: Sequence[str]
 def batch_lexical(chunks: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """The lexical leg for a whole table of queries (query_id, words array): (query_id, chunk_id, score, rank).
 
-    Postings are joined with the queries' terms (an equi-join on the term), scored and cut per query; a term's
-    postings are shared by all queries that hold it.
+    Tokens that some query holds are dealt by chunk once; counting them, scoring and summing by query then happen where
+    they are, and each task hands on its best k chunks of a query.  The queries' terms are broadcast while there are at
+    most `MOST_BROADCAST` of them, and joined by shuffles beyond.
     """
     tok = tokenized(chunks)
     stats = tok.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     wanted = queries.select("query_id", F.explode("words").alias("term"))
-    posted = tok.select("chunk_id", "dl", F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    part = _idf(F.col("n"), F.col("df")) * _saturate(F.col("tf").cast("double"), F.col("dl"), F.col("avgdl"))
-    parts = posted.join(df, "term").join(F.broadcast(stats), F.lit(True)).select("term", "chunk_id", part.alias("part")).join(wanted, "term")
-    scored = parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))
-    return scored.withColumn("rank", (rank - 1).cast("long")).where(F.col("rank") < k)
+    small = F.broadcast if wanted.count() <= MOST_BROADCAST else lambda df: df
+    terms = small(wanted.select("term").distinct())
+    df = tok.select(F.explode(F.array_distinct("t")).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    held = tok.select("chunk_id", "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi").repartition("chunk_id")
+    posted = held.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    weighed = wanted.join(df, "term").join(F.broadcast(stats), F.lit(True)).select("query_id", "term", "avgdl", _idf(F.col("n"), F.col("df")).alias("idf"))
+    part = F.col("idf") * _saturate(F.col("tf").cast("double"), F.col("dl"), F.col("avgdl"))
+    scored = posted.join(small(weighed), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))
+    best = scored.withColumn("place", place).where(F.col("place") <= k)  # compared as it is, so that tasks cut before the shuffle
+    return best.select("query_id", "chunk_id", "score", (F.col("place") - 1).cast("long").alias("rank"))
 
 
 __all__ = ["batch_lexical", "dense_leg", "distance", "indexed_leg", "indexed_phrase_leg", "lexical_leg", "phrase_leg", "score_phrases", "tokens"]
