@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +53,10 @@ def term_stats(posted: DataFrame) -> DataFrame:
 
 
 def dealt(chunks: DataFrame) -> DataFrame:
-    """The chunks as they lie or, in fewer files than there are cores, dealt by chunk: one task reads a file of one row group."""
+    """The chunks as they lie or, in fewer files than there are cores, dealt by chunk: one task reads a file of one row group.
+
+    Dealt by a hash of the id, so that a later exchange by the id itself isn't dropped as a repetition.
+    """
     files = len(chunks.inputFiles())
     return chunks.repartition(F.xxhash64("chunk_id")) if 0 < files < chunks.sparkSession.sparkContext.defaultParallelism else chunks
 
@@ -65,3 +70,23 @@ def document_frequencies(chunks: DataFrame) -> DataFrame:
 def corpus_stats(chunks: DataFrame, heading: bool = False) -> DataFrame:
     """One row: n, total_dl, avgdl over all sources."""
     return tokenized(chunks, heading).agg(F.count("*").alias("n"), F.sum("dl").alias("total_dl"), F.avg("dl").alias("avgdl"))
+
+
+def query_index(chunks: DataFrame, words: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`postings` (without places), `term_stats` and `corpus_stats` of the texts for a query's words, where no index is stored.
+
+    Every chunk is tokenised, but only the words' postings are made, within its row and without Python.  A chunk goes on as one
+    array, dl and the words' frequencies: it can't be pruned differently for the three tables, so they share one exchange
+    and with it one scan.
+    """
+    words = list(dict.fromkeys(words))
+    tok = tokenized(dealt(chunks.select("source", "chunk_id", "text")))
+    held = tok.select("source", "chunk_id", F.inline(F.array(F.struct("dl", F.filter("t", lambda x: x.isin(*words)).alias("t")))))
+    times = lambda w: F.size(F.filter("t", lambda x: x == w)).cast("long")
+    counts = F.array("dl", *map(times, words))
+    by_chunk = held.select("source", "chunk_id", counts.alias("counts")).repartition("chunk_id")
+    row = "array<struct<term:string,tf_text:long,tf_heading:long>>"
+    found = F.array(*[F.struct(F.lit(w), F.col("counts")[i], F.lit(0)) for i, w in enumerate(words, 1)]).cast(row)
+    dl = F.col("counts")[0]
+    posted = by_chunk.select("source", "chunk_id", dl.alias("dl"), F.inline(F.filter(found, lambda r: r["tf_text"] > 0)))
+    return posted, term_stats(posted), by_chunk.agg(F.count("*").alias("n"), F.sum(dl).alias("total_dl"), F.avg(dl).alias("avgdl"))

@@ -1,8 +1,10 @@
-"""Statistics where no index is stored: one pass over the texts, no Python workers."""
+"""Statistics and postings of a query where no index is stored: one pass over the texts, no Python workers."""
 
 from __future__ import annotations
 
-from quarry.operators import index
+import re
+
+from quarry.operators import index, legs
 from quarry.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -30,6 +32,29 @@ def test_document_frequencies_equal_those_of_postings(spark):
     assert {r["term"]: r["df"] for r in index.document_frequencies(chunks).collect()} == want
 
 
+def test_query_over_texts_tokenises_them_once(spark):
+    plan = _final_plan(registry.queries()["bm25_postings_top50"](spark, SF))
+    assert "EvalPython" not in plan
+    assert plan.count("FileScan") == 1 and len(re.findall(r"Generate inline\(array\(struct\(t, regexp_extract_all", plan)) == 1
+    assert plan.count("ReusedExchange") == 2
+
+
+def test_query_index_equals_the_whole_index(spark):
+    chunks, words = _chunks(spark), ["the", "cafe", "bar", "한국", "absent", "bar"]
+    posted, terms, stats = index.query_index(chunks, words)
+    whole = index.postings(chunks)
+    columns = ["source", "chunk_id", "term", "tf_text", "tf_heading", "dl"]
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(posted.select(columns)) == rows(whole.where(whole.term.isin(words)).select(columns))
+    assert rows(terms) == rows(index.term_stats(whole).where(whole.term.isin(words)))
+    assert rows(stats) == rows(index.corpus_stats(chunks))
+    for sources in (None, ["b"]):
+        got = legs.indexed_leg(*index.query_index(chunks, words), words, sources)
+        assert rows(got) == rows(legs.indexed_leg(whole, index.term_stats(whole), index.corpus_stats(chunks), words, sources))
+    posted, terms, stats = index.query_index(chunks, [])
+    assert posted.count() == 0 and terms.count() == 0 and stats.first()["n"] == len(ROWS)
+
+
 def test_one_file_is_dealt_and_many_are_not(spark, tmp_path):
     path = str(tmp_path / "chunks")
     _chunks(spark).coalesce(1).write.parquet(path)
