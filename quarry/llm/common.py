@@ -17,6 +17,10 @@ MAX_HOT = 1000
 SMALL_BYTES = 1 << 14
 #: A key with fewer rows than this is never worth special treatment.
 MIN_HOT = 2000
+#: Bits of a sieve for each row it is made of, its most bits (with more rows it lets more through) and those of one row.
+SIEVE_BITS, SIEVE_MOST, SIEVE_ROW = 16, 1 << 26, 1 << 15
+#: Lets Spark delete the shuffle files of a query when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -80,11 +84,17 @@ def release(spark: SparkSession, since: int, *keep: DataFrame, until: int | None
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
-    This cuts lineage the durable way: a lost executor costs a re-read, never a recomputation.
+    This cuts lineage the durable way: a lost executor costs a re-read, never a recomputation.  The shuffle files of
+    the write go as soon as it ends; the session's own setting holds again then.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
     return out
@@ -136,6 +146,22 @@ def lookup(big: DataFrame, small: DataFrame, on: str, rows_of: DataFrame | None
     return big.where(of_hot).join(F.broadcast(small.where(of_hot)), on, "left").unionByName(big.where(~of_hot).join(small, on, "left"))
 
 
+def sieve(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
+    """``big`` without most of the rows whose key isn't in ``small`` (a staged table), ahead of a join on that key.
+
+    Every row with a key of ``small`` (of the same type) stays, and of the others about one in `SIEVE_BITS`, more where
+    `SIEVE_MOST` bounds the bits, 8 MB, that are broadcast: a key's hash is one bit.  Rows with a null key go.
+    """
+    bits = min(SIEVE_MOST, SIEVE_ROW * -(-max(1, small.count() * SIEVE_BITS) // SIEVE_ROW))
+    at, row, bit, held = (unused(c, big.columns) for c in ("_at", "_row", "_bit", "_bits"))
+    place = F.pmod(F.xxhash64(on), F.lit(bits))
+    rows = small.where(F.col(on).isNotNull()).select(place.alias(at)).select(F.expr(f"{at} div {SIEVE_ROW}").alias(row), (F.col(at) % SIEVE_ROW).alias(bit))
+    rows = rows.groupBy(row).agg(F.bitmap_construct_agg(bit).alias(held))
+    found = big.where(F.col(on).isNotNull()).withColumn(at, place).withColumn(row, F.expr(f"{at} div {SIEVE_ROW}")).join(F.broadcast(rows), row)
+    byte = F.conv(F.hex(F.expr(f"substring({held}, cast({at} % {SIEVE_ROW} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (F.col(at) % 8).cast("int")) == 1).select(*big.columns)
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: dict[str, str], name: str) -> DataFrame:
     """Exclusive running sums over a total order, without ever sorting one key's rows in one task.
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import words as W
-from quarry.llm.common import attach, components, lookup, mark, prepare, release, stage, unused
+from quarry.llm.common import attach, components, lookup, mark, prepare, release, sieve, stage, unused
 
 HASHES, BAND = 64, 4
 BANDS = 2 * HASHES // BAND
@@ -105,7 +105,7 @@ def _set_hashes(value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _sets(width: int) -> Callable:
-    """(id, shingles) of rows (id, s1, s2, text); a text that isn't of the class it was taken for (its id is repeated) gives none."""
+    """(id, shingles, roles) of rows (id, s1, s2, text, roles); a text that isn't of the class it was taken for (its id is repeated) gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +116,8 @@ def _sets(width: int) -> Callable:
                 ends = np.cumsum(count)
                 raw = value.tobytes()
                 sets = [raw[8 * a : 8 * b] for a, b in zip((ends - count)[own].tolist(), ends[own].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array(sets, pa.binary())], names=["id", "shingles"])
+                own = pa.array(own)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), pa.array(sets, pa.binary()), part.column(4).take(own)], names=["id", "shingles", "roles"])
 
     return run
 
@@ -129,34 +130,48 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _verify(percent: int) -> Callable:
-    """Keep the pairs with 100 * intersection >= percent * union of the full sets."""
+    """(a, b) of rows (hub, salt, member, id, shingles) in this order: the members whose full sets have 100 * intersection >=
+    percent * union with that of their hub, which comes first."""
+
+    def similar(a: np.ndarray, b: np.ndarray) -> bool:
+        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+            return False
+        both = _common(a, b)
+        return 100 * both >= percent * (len(a) + len(b) - both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hub_set = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    keep.append(False)
-                    continue
-                both = _common(a, b)
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            hub, salt, member, ids = (c.to_pylist() for c in batch.columns[:4])
+            pairs = []
+            for k, x in enumerate(batch.column(4)):
+                own = np.frombuffer(x.as_buffer(), "<u8")
+                if not member[k]:
+                    held, hub_set = (hub[k], salt[k]), own.copy()
+                elif held == (hub[k], salt[k]) and similar(own, hub_set):
+                    pairs.append((ids[k], hub[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (id, hub) whose full sets are similar, as (a, b).  A hub's set is copied once for every `PIVOT_ROWS` of its
-    pairs, so a hub of a third of all rows is spread over as many tasks as the others.  Repeated pairs count once, pairs
-    with an id (or a null) that has no set are dropped, no pairs give an empty table."""
+def _roles(pairs: DataFrame) -> DataFrame:
+    """(id, hub, salt, member): where the sets go that the pairs (id, hub) need, members to one copy of their hub's set and
+    hubs to all of theirs.  A hub's set is copied once for every `PIVOT_ROWS` of its pairs, so a hub of a third of all
+    rows is spread over as many tasks as the others.  Repeated pairs count once, pairs with a null are dropped."""
     pairs = stage(pairs.distinct(), "near-pairs")
-    hubs = pairs.groupBy("hub").agg(F.count("*").alias("n"))
-    salts = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / PIVOT_ROWS).cast("int") - 1)).alias("salt"), F.ceil(F.col("n") / PIVOT_ROWS).alias("parts"), "n")
-    right = salts.join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("hub_set")), "hub").select("hub", "salt", "hub_set")
-    sized = attach(pairs, hubs.select("hub", F.ceil(F.col("n") / PIVOT_ROWS).alias("parts"), "n"), ["hub"], "n")
-    left = sized.join(sets, "id").select("hub", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("salt"), "id", "shingles")
-    return left.join(right, ["hub", "salt"]).select("id", "hub", "shingles", "hub_set").mapInArrow(_verify(percent), "a long, b long")
+    hubs = stage(pairs.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PIVOT_ROWS).cast("int").alias("parts")), "near-hubs")
+    members = attach(pairs, hubs, ["hub"], "n").select("id", "hub", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("salt"), F.lit(True).alias("member"))
+    copies = hubs.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"))
+    return members.unionByName(copies)
+
+
+def linked(sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members and hubs whose full sets are similar, of rows (id, hub, salt, member, shingles) as `_roles` places
+    them.  Pairs with an id that has no set are dropped, no rows give an empty table."""
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sets.select("hub", "salt", "member", "id", "shingles").repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "member")
+    return dealt.mapInArrow(_verify(percent), "a long, b long")
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +265,7 @@ def _outsiders(members: DataFrame, reps: DataFrame, sets: DataFrame, labels: Dat
     outside = rows.where("comp <> main").groupBy("key").agg(F.count("*").alias("u"), F.first("size").alias("n"))
     rows = attach(rows, stage(outside, "near-outside"), ["key"], "n")
     rows = stage(rows, "near-rows")
-    fine = stage(sets.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_fine, "id long, fine binary"), "near-fine")
+    fine = stage(sieve(sets.select("id", "shingles"), rows, "id").mapInArrow(_fine, "id long, fine binary"), "near-fine")
     rows = rows.join(fine.join(reps.select("id", "bands"), "id"), "id").withColumns({"ny": _cuts("u", OUTER_BLOCK), "nx": _cuts("size", INNER_BLOCK), "h": F.xxhash64("id")})
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["key", "band", "x", "y", "outer", "id", "comp", "bands", "fine"]
@@ -281,25 +296,27 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, text_col
     repeats = not full.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
     # members of buckets that hold two classes at least
-    banded = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", "band", F.xxhash64("band", "value").alias("key")).distinct()
+    banded = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", "band", F.xxhash64("band", "value").alias("key"))
     buckets = stage(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n")), "near-buckets")
-    met = stage(attach(banded, buckets, ["key"], "n"), "near-met")
+    met = stage(attach(sieve(banded, buckets, "key"), buckets, ["key"], "n"), "near-met")
     members = stage(met.join(met.groupBy("id").agg(F.sum("size").alias("score")), "id"), "near-scored")
     reps = classes.select("id", "bands")
 
-    needed = classes.join(members.select("id").distinct(), "id", "left_semi").select(F.col("least").alias("doc_id"), "id", "s1", "s2")
-    sets = rows.join(needed, "doc_id").select("id", "s1", "s2", "text").mapInArrow(_sets(width), "id long, shingles binary")
-    sets = stage(sets.groupBy("id").agg(F.first("shingles").alias("shingles")) if repeats else sets, "near-sets")
-
-    # round one: every member against its bucket's pivot
+    # round one: every member against its bucket's pivot; each set is made with a list of where it goes, and only of texts that go anywhere
     pivots = members.groupBy("key").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"), F.count("*").alias("n"))
     star = attach(members, stage(pivots, "near-pivots"), ["key"], "n").where("id <> hub").select("id", "hub")
-    labels = components(linked(star, sets, percent), "near-cc")
+    uses = _roles(star).groupBy("id").agg(F.collect_list(F.struct("hub", "salt", "member")).alias("roles"))
+    needed = stage(classes.join(uses, "id").select(F.col("least").alias("doc_id"), "id", "s1", "s2", "roles"), "near-needed")
+    sets = sieve(rows, needed, "doc_id").join(needed, "doc_id").select("id", "s1", "s2", "text", "roles")
+    sets = sets.mapInArrow(_sets(width), "id long, shingles binary, roles array<struct<hub: long, salt: int, member: boolean>>")
+    sets = stage(sets.groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("roles").alias("roles")) if repeats else sets, "near-sets")
+    labels = components(linked(sets.select("id", "shingles", F.inline("roles")), percent), "near-cc")
 
     # round two: members that are still outside
     pairs = _outsiders(members.select("key", "band", "id", "score"), reps, sets, labels, percent)
     seen = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
-    between = linked(pairs, sets, percent).join(seen("a"), "a", "left").join(seen("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    uses = stage(_roles(pairs), "near-roles")
+    between = linked(sieve(sets.select("id", "shingles"), uses, "id").join(uses, "id"), percent).join(seen("a"), "a", "left").join(seen("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
     merged = components(between, "near-cc")
     moved = merged.select(F.col("id").alias("comp"), F.col("comp").alias("to"))
     known = lookup(labels, moved, "comp").select("id", F.coalesce("to", "comp").alias("comp"))
