@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import common, minmax_dedup
@@ -22,7 +23,17 @@ def _files(spark) -> set[str]:
     return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
 
 
-def test_texts_that_meet_no_other_are_not_shuffled(spark):
+@pytest.fixture
+def large(spark):
+    """As with tables too large to be broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_texts_that_meet_no_other_are_not_shuffled(spark, large):
     rng = random.Random(3)
     rows = [(i, " ".join(f"{rng.randrange(1 << 40):x}" for _ in range(3000))) for i in range(200)]
     rows += [(1000 + i, t + " end") for i, t in rows[:4]]
